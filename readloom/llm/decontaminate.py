@@ -56,8 +56,6 @@ class Index:
             h = int(common.windows(hashes.array(list(w)), len(w))[0])
             self.by.setdefault(len(w), {}).setdefault(h, []).append((list(w), sorted(ids)))
         self.sorted = {k: np.sort(np.fromiter(v, np.uint64, len(v))) for k, v in self.by.items()}
-        # Half of all words of a text need no look at most: a window starts with one of these.
-        self.first = np.unique(hashes.array([w[0] for w in found])) if found else np.zeros(0, np.uint64)
 
     def scan(self, w: list[str], h: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
         """The (first, end) words of each verified occurrence, and the items hit."""
