@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, tokenfile
+from . import decontaminate, hilbert, langid, mixing, secret_scan, tokenfile
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
+    "op2_secret_scan": secret_scan.op2,
+    "op3_mix_sources": mixing.op3,
+    "op5_language_id": langid.op5,
+    "op8_hilbert_shards": hilbert.op8,
     "op10_token_file": tokenfile.op10,
 }
 ORACLE_SQL = {"op1_decontaminate": decontaminate.OP1_SQL}
