@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hilbert, langid, mixing, secret_scan, tokenfile
+from . import decontaminate, hilbert, jaccard_join, langid, mixing, secret_scan, tokenfile
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mix_sources": mixing.op3,
     "op5_language_id": langid.op5,
     "op8_hilbert_shards": hilbert.op8,
+    "op9_jaccard_join": jaccard_join.op9,
     "op10_token_file": tokenfile.op10,
 }
 ORACLE_SQL = {"op1_decontaminate": decontaminate.OP1_SQL}
