@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hilbert, jaccard_join, langid, mixing, secret_scan, tokenfile
+from . import decontaminate, hilbert, jaccard_join, langid, mixing, pii, secret_scan, tokenfile
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op2_secret_scan": secret_scan.op2,
     "op3_mix_sources": mixing.op3,
+    "op4_personal_data": pii.op4,
     "op5_language_id": langid.op5,
     "op8_hilbert_shards": hilbert.op8,
     "op9_jaccard_join": jaccard_join.op9,
