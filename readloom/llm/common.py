@@ -8,6 +8,8 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,14 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table as a plain expression: no Python and no RDD when it is read."""
+    kind = StructType.fromDDL(schema)
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, kind.fields, strict=True)]) for r in rows]
+    every = F.array(*structs) if rows else F.array().cast(f"array<struct<{','.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in kind.fields)}>>")
+    return spark.range(1).select(F.inline(every))
+
+
 class HashOf(dict):
     """word -> 64-bit hash, remembered. clear_if_large() bounds the memory; no result depends on it."""
 

@@ -97,7 +97,7 @@ def sharded(rows: DataFrame, dimensions: dict[str, F.Column], tie: list[str], sh
     for r in sorted(ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()):  # a row a partition
         counts.append((r.p, total))
         total += r.n
-    starts = F.broadcast(spark.createDataFrame(counts, "__p long, __start long"))
+    starts = F.broadcast(common.values(spark, counts, "__p long, __start long"))
     ranked = ordered.join(starts, part == F.col("__p")).withColumn("__rank", F.col("__start") + within)
     shard = F.expr(f"__rank * {shards} div {max(total, 1)}")
     return ranked.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("__rank") - F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")).drop("__p", "__start", "__at", "__rank")
