@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hilbert, jaccard_join, langid, mixing, pii, secret_scan, spotsigs, tokenfile
+from . import decontaminate, hilbert, jaccard_join, langid, linededup, mixing, pii, secret_scan, spotsigs, tokenfile
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mix_sources": mixing.op3,
     "op4_personal_data": pii.op4,
     "op5_language_id": langid.op5,
+    "op6_line_dedup": linededup.op6,
     "op7_spotsigs": spotsigs.op7,
     "op8_hilbert_shards": hilbert.op8,
     "op9_jaccard_join": jaccard_join.op9,
