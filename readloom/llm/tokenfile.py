@@ -18,6 +18,7 @@ no files; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -30,45 +31,62 @@ from pyspark.sql import functions as F
 from . import common
 
 SEQ_LEN, BATCH_ROWS = 2048, 256
-#: Words a worker remembers; then it starts anew. Speed only.
-CACHE = 300_000
+#: Chunks that a worker remembers, in two generations; then it forgets the older one. Speed only.
+CACHE = 600_000
+#: A run of these after a letter is a piece of its own for the tokenizers used here.
+TAIL = ".,;:!?%$&*#"
 
 
-class WordCache(dict):
-    """White-space free chunk -> its ids as bytes.
+class WordCache:
+    """A text's ids, as bytes, from those of its white-space free chunks.
 
-    The tokenizers used here drop white space and never join ids across it, so a
-    text's ids are those of its chunks, one after another. `splits_at_space` of
-    this class checks that on a tokenizer before use.
+    The tokenizers used here lower-case, drop white space and never join ids across it, nor
+    across a letter and the signs after it, so a text's ids are those of its chunks, one after
+    another. splits_at_space() tries that on a tokenizer; without it whole texts are encoded.
     """
 
     def __init__(self, path: str, dtype: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok, self.dtype = Tokenizer.from_file(path), dtype
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.by_chunk = self.splits_at_space()
 
+    def ids(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
     def splits_at_space(self) -> bool:
-        ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
-        probe = "It's a  probe,\n1 2\tx\r\ny don' t ́a é "
-        return ids(probe) == [i for c in self.chunks(probe) for i in ids(c)]
+        probe = "It's a  Probe,\n1 2\tx\r\ny don't... ÉTÉ### é%%% <|endoftext|> "
+        return self.ids(probe) == [i for c in self.chunks(probe) for p in self.pieces(c) for i in self.ids(p)]
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        t = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        return [c for c in t.split(" ") if c]
+        return [c for c in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if c]
 
-    def encode(self, text: str) -> bytes:
+    @staticmethod
+    def pieces(chunk: str) -> tuple[str, ...]:
+        """The chunk in lower case, and apart from it the signs after its last letter."""
+        if chunk.isascii() or (max(chunk) < "\u0250" and "\u0130" not in chunk):  # there, one letter's lower case is one letter
+            chunk = chunk.lower()
+        stem = chunk.rstrip(TAIL)
+        return (stem, chunk[len(stem) :]) if len(stem) < len(chunk) and stem and stem[-1].isalpha() else (chunk,)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
-            return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        chunks = self.chunks(text)
-        if new := list(set(chunks) - self.keys()):
-            for c, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
-                self[c] = np.asarray(e.ids, self.dtype).tobytes()
-        out = b"".join(map(self.__getitem__, chunks))
-        if len(self) > CACHE:
-            self.clear()
-        return out
+            return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        every = [self.chunks(t) for t in texts]
+        if len(self.new) > CACHE:
+            self.old, self.new = self.new, {}
+        missing = set().union(*every) - self.new.keys()
+        again = missing & self.old.keys()
+        self.new.update((c, self.old[c]) for c in again)
+        cut = {c: self.pieces(c) for c in missing - again}
+        parts = list({p for ps in cut.values() for p in ps})
+        code = {p: np.asarray(e.ids, self.dtype).tobytes() for p, e in zip(parts, self.tok.encode_batch_fast(parts, add_special_tokens=False), strict=True)}
+        self.new.update((c, b"".join(map(code.__getitem__, ps))) for c, ps in cut.items())
+        return [b"".join(map(self.new.__getitem__, chunks)) for chunks in every]
 
 
 def id_type(vocab: int) -> str:
@@ -141,8 +159,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, seq_len
                     sink = fs.open_output_stream(f"{top}/{name}.docs.arrow.part")
                     index = pa.ipc.new_file(sink, DOCS)
                 offsets, counts = [], []
-                for text in some.column(1).to_pylist():
-                    ids = cache.encode(text or "") + end
+                for ids in cache.encode([t or "" for t in some.column(1).to_pylist()]):
+                    ids += end
                     writer.add(ids)
                     offsets.append(total)
                     counts.append(len(ids) // width)
