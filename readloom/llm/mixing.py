@@ -203,7 +203,8 @@ def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     cols = [F.col(f"`{c}`") for c in docs.columns]
     sized = common.keep(words_counted(docs, {"doc_id": F.col("doc_id").cast("long"), "members": F.array(F.col("source").cast("string"))}), "sizes")
     planned = plan(sized, seed, **options)
-    whole = words_counted(docs, {"doc_id": F.col("doc_id").cast("long"), "members": F.array(F.col("source").cast("string")), "row": F.struct(*cols)})
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array(F.col("source").cast("string")).alias("members"), F.struct(*cols).alias("row"), size.alias("size"))
     copies = F.when(F.col("size") == 0, 0).otherwise(F.round(F.col("taken") / F.col("size")).cast("int"))
     out = taken(whole, planned, seed).where(copies > 0).withColumn("__k", F.explode(F.sequence(F.lit(1), copies)))
     return out.select("row.*")
