@@ -41,14 +41,15 @@ def first_chunk(spark: SparkSession, path: str) -> DataFrame:
 
 def violations(streams: DataFrame) -> DataFrame:
     """Rows (chunk_id, rule) for streams that do not fit one another; empty if all is well."""
-    n = lambda s, c="n": F.max(F.when(F.col("stream") == s, F.col(c)))
-    raw = lambda s: F.coalesce(F.sum(F.when(F.col("stream") == s, F.col("raw_bytes"))), F.lit(0))
-    by = streams.groupBy("chunk_id").agg(
-        n("bases").alias("bases"), raw("bases").alias("packed"), raw("n_counts").alias("counts"), raw("n_positions").alias("positions"), F.coalesce(n("n_positions"), F.lit(0)).alias("ns"),
-        n("plus").alias("records"), raw("plus").alias("plus"), n("line_lengths").alias("lines"), raw("line_lengths").alias("line_bytes"), n("quality").alias("scores"), raw("quality").alias("quality"),
-        F.count_if((F.col("payload").isNull()) | (F.octet_length("payload") != F.col("comp_bytes")) | ((F.col("raw_bytes") > 0) != (F.col("comp_bytes") > 0))).alias("broken"),
-        F.count_if((F.col("stream") == "id_values") & (F.col("kind") == "string") & (F.col("encoding") != "plain")).alias("bad_encoding"),
-        F.count_if((F.col("stream") == "id_lengths") & (F.col("raw_bytes") != 4 * F.col("n")) & (F.col("slice") == 0) & (F.col("raw_bytes") < 16 << 20)).alias("bad_lengths"),
+    whole = streams.groupBy("chunk_id", "stream", "col").agg(
+        F.max("n").alias("n"), F.sum("raw_bytes").alias("raw"), F.max((F.col("kind") == "string") & (F.col("encoding") != "plain")).alias("odd"),
+        F.count_if(F.col("payload").isNull() | (F.octet_length("payload") != F.col("comp_bytes")) | ((F.col("raw_bytes") > 0) != (F.col("comp_bytes") > 0))).alias("broken"),
+    )
+    of = lambda s, c: F.coalesce(F.max(F.when(F.col("stream") == s, F.col(c))), F.lit(0))
+    by = whole.groupBy("chunk_id").agg(
+        of("bases", "n").alias("bases"), of("bases", "raw").alias("packed"), of("n_counts", "raw").alias("counts"), of("n_positions", "raw").alias("positions"), of("n_positions", "n").alias("ns"),
+        of("plus", "n").alias("records"), of("plus", "raw").alias("plus"), of("line_lengths", "n").alias("lines"), of("line_lengths", "raw").alias("line_bytes"), of("quality", "n").alias("scores"), of("quality", "raw").alias("quality"),
+        F.sum("broken").alias("broken"), F.count_if((F.col("stream") == "id_values") & F.col("odd")).alias("bad_encoding"), F.count_if((F.col("stream") == "id_lengths") & (F.col("raw") != 4 * F.col("n"))).alias("bad_lengths"),
     )
     rules = {
         "stream sizes": F.col("broken") > 0,
