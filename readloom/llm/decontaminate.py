@@ -118,17 +118,19 @@ def blocks(benchmark: DataFrame, n: int, block_windows: int):
 def contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str], n: int = N, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The given columns of each row of docs, and n_words, hits (word ranges) and items.
 
-    With more than one block, rows are told apart by `columns`; equal rows then have
-    equal results and are merged and multiplied again.
+    With more than one block, rows are told apart by `columns` and a digest of the text; equal
+    rows then have equal results and are merged and multiplied again.
     """
-    made = [scanned(docs, Index(b, n), columns) for b in blocks(benchmark, n, block_windows)]
-    if len(made) == 1:
-        return made[0]
-    every = made[0]
+    every = list(blocks(benchmark, n, block_windows))
+    if len(every) == 1:
+        return scanned(docs, Index(every[0], n), columns)
+    marked = docs.withColumn("__digest", F.sha2(F.col("text").cast("string"), 256))
+    made = [scanned(marked, Index(b, n), [*columns, "__digest"]) for b in every]
+    union = made[0]
     for m in made[1:]:
-        every = every.unionByName(m)
+        union = union.unionByName(m)
     by = [F.col(f"`{c}`") for c in [*columns, "n_words"]]
-    merged = every.groupBy(*by).agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(made)).cast("int").alias("__n"))
+    merged = union.groupBy(*by, "__digest").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(made)).cast("int").alias("__n"))
     return merged.select(*by, "hits", "items", F.explode(F.sequence(F.lit(1), "__n")).alias("__k")).drop("__k")
 
 
