@@ -168,7 +168,7 @@ def plan(sized: DataFrame, seed: int = SEED, **options) -> DataFrame:
     bounds = {}
     if some:
         wanted = small(spark, some, "p string, rest long")
-        binned = rows.join(wanted, "p").withColumn("bin", F.shiftrightunsigned(F.col("at.h"), 64 - BINS.bit_length() + 1))
+        binned = rows.join(wanted, "p").withColumn("bin", F.shiftright(F.col("at.h"), 64 - BINS.bit_length() + 1))
         order = Window.partitionBy("p").orderBy("bin")
         by_bin = binned.groupBy("p", "rest", "bin").agg(F.sum("size").alias("n")).withColumn("to", F.sum("n").over(order))
         edge = [(r.p, r.bin, r.need) for r in by_bin.where("to >= rest and to - n < rest").select("p", "bin", (F.col("rest") - F.col("to") + F.col("n")).alias("need")).collect()]
