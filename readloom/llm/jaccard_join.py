@@ -241,8 +241,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(e)
     while before[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # stored, so that the join has two plain inputs: a node with very many edges is split among tasks
+        low = common.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m")), "least")
+        large = e.join(low, "b").select("a", F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         met = large.join(low, "a")
         small = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
