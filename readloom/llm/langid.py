@@ -150,7 +150,7 @@ class Model:
         low = np.sort(cost, 1)
         names, scores, bits = [], [], []
         for i, t in enumerate(norm):
-            known = bool(t) and best is not None
+            known = best is not None and any(map(str.isalpha, t))  # number signs such as U+00B2 aren't letters
             names.append(self.languages[best[i]] if known else "und")
             scores.append(float(1 - low[i, 0] / low[i, 1]) if known and len(self.languages) > 1 else float(known))
             bits.append(float(low[i, 0] / len(t)) if known else 0.0)
