@@ -89,6 +89,17 @@ class WordCache:
         return [b"".join(map(self.new.__getitem__, chunks)) for chunks in every]
 
 
+CACHES: dict[tuple[str, str], WordCache] = {}
+
+
+def cache_of(path: str, dtype: str) -> WordCache:
+    """One a worker process, for all its tasks."""
+    if (path, dtype) not in CACHES:
+        CACHES.clear()
+        CACHES[path, dtype] = WordCache(path, dtype)
+    return CACHES[path, dtype]
+
+
 def id_type(vocab: int) -> str:
     return "<u2" if vocab <= 1 << 16 else "<u4"
 
@@ -149,7 +160,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, seq_len
         fs.create_dir(top, recursive=True)
         part = TaskContext.get().partitionId()
         name, writer, total, rows = f"part-{part:06d}", None, 0, 0
-        cache, end = WordCache(tokenizer, dtype), np.asarray([end_id], dtype).tobytes()
+        cache, end = cache_of(tokenizer, dtype), np.asarray([end_id], dtype).tobytes()
         index, sink, width = None, None, np.dtype(dtype).itemsize
         for b in batches:
             for at in range(0, b.num_rows, 512):
