@@ -385,4 +385,33 @@ def first_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    return join(common.table(spark, sf_dir, "documents"))[0]
+    return join(common.table(spark, sf_dir, "documents"))[0].drop("node")
+
+
+#: doc_id, class_id, n_links and copies in DuckDB's SQL, by comparing all sets that share a shingle.
+OP9_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), shingles as (
+  select distinct doc_id, array_to_string(list_slice(w, p, p + least(5, len(w)) - 1), ' ') as s
+  from (select doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) as p from words where len(w) > 0)
+), digests as (
+  select doc_id, md5(string_agg(s, '|' order by s)) as node from shingles group by doc_id
+), classes as (
+  select node, min(doc_id) as id, count(*) as n_rows from digests group by node
+), sets as (
+  select c.id, x.s from classes c join shingles x on x.doc_id = c.id
+), sizes as (
+  select id, count(*) as n from sets group by id
+), links as (
+  select a, b from (select x.id as a, y.id as b, count(*) as both_ from sets x join sets y on x.s = y.s and x.id <> y.id group by x.id, y.id)
+  join sizes p on p.id = a join sizes q on q.id = b where both_ >= 0.8 * (p.n + q.n - both_) - 1e-9
+), reach as (
+  select id as a, id as b from classes
+  union
+  select r.a, l.b from reach r join links l on r.b = l.a
+), least_ as (select a, min(b) as class_id from reach group by a
+), degree as (select a, count(*) as n_links from links group by a)
+select w.doc_id, coalesce(l.class_id, w.doc_id) as class_id, cast(coalesce(d.n_links, 0) as bigint) as n_links, cast(coalesce(c.n_rows - 1, 0) as bigint) as copies
+from words w left join digests g on g.doc_id = w.doc_id left join classes c on c.node = g.node left join least_ l on l.a = c.id left join degree d on d.a = c.id
+"""

@@ -117,4 +117,28 @@ def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    return repeats(common.table(spark, sf_dir, "documents")).drop("row")
+    found = repeats(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", "n_units", F.col("n_words").cast("long").alias("n_words"), F.array_min("kept_in").alias("kept_doc_id"))
+
+
+#: The same rows in DuckDB's SQL, for texts without the character U+0001.
+OP6_SQL = r"""
+with pieces as (
+  select doc_id, md5(text) as row, unnest(p) as piece, unnest(range(1, len(p) + 1)) as k
+  from (select doc_id, text, string_split(regexp_replace(regexp_replace(text, '([.!?]+)(\s)', concat('\1', chr(1), '\2'), 'g'), '\n', concat(chr(10), chr(1)), 'g'), chr(1)) as p from documents where text <> '')
+), placed as (
+  select doc_id, row, k, piece, sum(length(piece)) over (partition by doc_id, row order by k rows unbounded preceding) - length(piece) as pos,
+    regexp_extract_all(lower(piece), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from (select distinct * from pieces)
+), units as (
+  select doc_id, row, k, row_number() over (partition by doc_id, row order by k) as unit, len(w) as words, md5(array_to_string(w, ' ')) as digest,
+    pos + length(piece) - length(regexp_replace(piece, '^\s+', '')) as a, pos + length(regexp_replace(piece, '\s+$', '')) as e
+  from placed where len(w) > 0
+), ranked as (
+  select *, min(coalesce(doc_id, 9223372036854775807)) over (partition by digest) as first, row_number() over (partition by doc_id, row, digest order by unit) as nth from units
+), runs as (
+  select *, unit - row_number() over (partition by doc_id, row order by unit) as run from ranked where coalesce(doc_id, 9223372036854775807) > first or nth > 1
+)
+select doc_id, cast(min(a) as bigint) as "start", cast(max(e) as bigint) as "end", count(*) as n_units, cast(sum(words) as bigint) as n_words, min(nullif(first, 9223372036854775807)) as kept_doc_id
+from runs group by doc_id, row, run having sum(case when words >= 4 then words else 0 end) >= 25
+"""

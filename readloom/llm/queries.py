@@ -16,4 +16,4 @@ QUERIES = {
     "op9_jaccard_join": jaccard_join.op9,
     "op10_token_file": tokenfile.op10,
 }
-ORACLE_SQL = {"op1_decontaminate": decontaminate.OP1_SQL}
+ORACLE_SQL = {"op1_decontaminate": decontaminate.OP1_SQL, "op6_line_dedup": linededup.OP6_SQL, "op9_jaccard_join": jaccard_join.OP9_SQL}
