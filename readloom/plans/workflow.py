@@ -19,7 +19,9 @@ def compress(spark: SparkSession, source: str, target: str, options: Options | N
     if mode == "strict" and (bad := fastq.uncovered(fastq.scan(spark, source)).first()):
         raise ValueError(f"{bad.file}: records cover {bad.bytes} of {bad.file_bytes} bytes")
     container.write(chunks.encoded(reads, options), target, options)
-    return totals(container.read(spark, target)).first().asDict() | {"seconds": time.time() - began}
+    size = lambda path: sum(n for _, n in fastq.files(path))
+    got = totals(container.read(spark, target)).first().asDict() | {"file_bytes": size(source), "container_bytes": size(target)}
+    return got | {"file_percent": 100 * got["container_bytes"] / got["file_bytes"] if got["file_bytes"] else None, "seconds": time.time() - began}
 
 
 def decompress(spark: SparkSession, source: str, target: str) -> None:

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import chunks, encode, fields, identifiers, validate
@@ -13,21 +10,13 @@ from .operators.chunks import Options
 from .plans import fixtures, workflow
 from .plans.fixtures import FAULTY, RAW, cte, faulty, reads
 from .sources import container, fastq
+from .storage import shared_dir
 
 READS = ("rec", "identifier", "basecalls", "plus_kind", "quality")
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in what driver and executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="readloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/readloom/{name}-{uuid.uuid4().hex}"
-
-
 def scan_fastq(spark, sf_dir):
-    path = folder(spark, "fastq")
+    path = shared_dir(spark, "fastq")
     fastq.write(reads(spark, sf_dir), path)
     return fastq.read(spark, path, partition_bytes=1 << 18).select(*READS)
 
@@ -48,7 +37,7 @@ def id_layout(spark, sf_dir, drift=False):
 
 
 def stored(spark, sf_dir, options=None):
-    path = folder(spark, "container")
+    path = shared_dir(spark, "container")
     container.write(chunks.encoded(reads(spark, sf_dir), options), path, options)
     return container.read(spark, path)
 
