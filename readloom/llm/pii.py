@@ -310,8 +310,8 @@ def model_spans(texts: list[str], m: Model) -> list[list[tuple[int, int, int]]]:
             em.append((total / weight)[:n])
             k += b - a + 1
         for (i, a, _), y in zip(group, viterbi(em, m.p["A"]), strict=True):
-            edge = np.flatnonzero((y > 0) & (np.concatenate(([0], y[:-1])) + (y % 2) != y))
-            for s in edge.tolist():
+            before = np.concatenate(([0], y[:-1]))
+            for s in np.flatnonzero((y % 2 == 1) | ((y > 0) & (before != y) & (before != y - 1))).tolist():
                 kind, e = (int(y[s]) - 1) // 2, s + 1
                 while e < len(y) and y[e] == 2 + 2 * kind:
                     e += 1

@@ -242,6 +242,17 @@ def test_op4_spans_of_documents(spark, docs, small_model):
     assert all(s.start < s.end for s in spans)
 
 
+def test_op4_finds_what_patterns_find_in_plain_text():
+    m = pii.default_model()
+    text = "Word and more words, bosbt.42@mail8.example.com thblewhor 42.144.35.254 anth 4041894974608795 Edth, +1 (988) 555-2485 orthen in 1999. " + "The rest is plain. " * 20
+    base = pii.base_spans(text)
+    assert len(base) == 4 and set(base) <= set(pii.model_spans([text], m)[0])
+    both = "Call +1 (269) 555-3296 4524132264652876 and more words here."
+    found = pii.model_spans([both], m)[0]
+    assert pii.base_spans(both) == [] and [(pii.KINDS[k], both[a:b]) for a, k, b in found] == [("phone", "+1 (269) 555-3296"), ("card", "4524132264652876")]
+    assert pii.model_spans(["In 1999 there were 12 of 345 words, 3.5 each."], m) == [[]]
+
+
 def test_op4_stretches_cover_each_trigger():
     text = "".join(RND.choice("ab      1" if i % 1000 < 40 else "ab ") for i in range(30000))
     spans = pii.stretches(text)
