@@ -68,7 +68,7 @@ def violations(streams: DataFrame) -> DataFrame:
 
 # ---- the binary layout's fixed fields
 # Little-endian fields of a chunk, in order, with the version that brought them.
-HEADER = struct.Struct("<II")
+HEADER, HEADER_BYTES = "<II", 8
 FIELDS = (
     "Q records", "Q line_offsets",
     "B id_mode", "Q id_original", "Q id_separators", "Q id_kinds", "Q id_columns", "Q id_flat_original", "Q id_flat_payload", "Q id_flat_chunks",
@@ -84,14 +84,14 @@ def fields_of(version: int) -> list[tuple[str, str]]:
 
 
 def pack_header(version: int = VERSION) -> bytes:
-    return HEADER.pack(MAGIC, version)
+    return struct.pack(HEADER, MAGIC, version)
 
 
 def unpack_header(data: bytes) -> int:
     """The version; fails on another magic number, an unknown version or too few bytes."""
-    if len(data) < HEADER.size:
+    if len(data) < HEADER_BYTES:
         raise ValueError("the header is cut short")
-    magic, version = HEADER.unpack_from(data)
+    magic, version = struct.unpack_from(HEADER, data)
     if magic != MAGIC:
         raise ValueError("not a container")
     if version not in VERSIONS:
@@ -126,7 +126,7 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for p, content in zip(pdf["path"], pdf["content"], strict=True):
                 version = unpack_header(content)
-                got = unpack_fields(bytes(content[HEADER.size :]), version) or {}
+                got = unpack_fields(bytes(content[HEADER_BYTES :]), version) or {}
                 rows.append((p, version, *(got.get(n) for n in names)))
             yield pd.DataFrame(rows, columns=["path", "version", *names])
 
