@@ -81,7 +81,8 @@ def units(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The passages to remove: doc_id, row, start, end, n_units, n_words, kept_in (documents of the first copies)."""
     every = common.keep(units(docs), "units")
-    groups = every.groupBy("d1", "d2").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # stored, so that the join has two plain inputs: the rows of one digest are split among tasks
+    groups = common.keep(every.groupBy("d1", "d2").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "groups")
     met = every.join(groups, ["d1", "d2"]).where((F.col("rank") > F.col("first")) | F.col("again"))
     met = met.dropDuplicates(["rank", "row", "unit"])
     by = Window.partitionBy("rank", "row").orderBy("unit")
