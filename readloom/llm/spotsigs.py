@@ -33,7 +33,21 @@ ANCHORS = """a an and are as at be by for from had has have he her his in is it
 au aux avec ce ces dans de des du elle en est et il la le les ne nous ou par pas pour que qui sa se ses son sont sur un une vous
 als auch auf aus bei das dem den der die ein eine einem einen einer er es für ich im ist mit nach nicht sich sie sind und von war wie wir zu zum zur
 al como con del el ella ellos era este esta ha los las lo más no o para pero por su sus también una y""".split()
-PIECE = "((?:(?:" + "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w))) + ") )*+)([^ ]++)"
+
+
+def trie(words: list[str]) -> str:
+    """One regular expression for all words, longest first, that looks at each letter once."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    parts = [c + trie(rest) for c, rest in heads.items()]
+    body = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+    return (f"(?:{body})?" if "" in words else body) if parts else ""
+
+
+#: From a word's start: the anchors there, and the content word after them.
+PIECE = " ?+((?:" + trie(ANCHORS) + " )*+[^ ]++)"
 THRESHOLD = 0.6
 
 
@@ -42,20 +56,20 @@ def plain(text: F.Column) -> F.Column:
     return F.regexp_replace(F.concat(F.lower(text), F.lit(" ")), r"[^\p{L}\p{N}]++", " ")
 
 
-def signatures(text: F.Column) -> F.Column:
-    """The sorted distinct hashes of a text's signatures."""
-    end = F.lit("|")  # a last content word, so that anchors at the end stay anchors
-    pieces = F.regexp_extract_all(F.concat(plain(text), end), F.lit(PIECE), F.lit(0))
-    n = F.greatest(F.size(pieces) - 2, F.lit(0))
-    chained = F.zip_with(F.slice(pieces, 1, n), F.slice(pieces, 2, n), lambda a, b: F.when(F.instr(a, " ") > 0, F.hash(a, F.substring_index(b, " ", -1))))
-    return F.array_sort(F.array_distinct(F.array_compact(chained)))
-
-
 def fingerprinted(df: DataFrame, text: str, to: str) -> DataFrame:
-    """df and `to`, the signatures of a text column."""
+    """df and `to`, the sorted distinct hashes of the signatures of a text column.
+
+    Words and pieces are columns of their own: an expression used twice in an array
+    function would be computed twice.
+    """
+    end = F.lit("|")  # a last content word, so that anchors at the end stay anchors
     whole = F.coalesce(F.col(text), F.lit(""))
-    sigs = df.withColumn(to, signatures(whole))
-    return sigs.withColumn(to, F.when(F.size(to) > 0, F.col(to)).otherwise(F.array(F.hash(F.when(F.trim(plain(whole)) != "", F.trim(plain(whole))).otherwise(whole)))))
+    cut = df.withColumn("__w", plain(whole)).withColumn("__p", F.regexp_extract_all(F.concat("__w", end), F.lit(PIECE), F.lit(1)))
+    n = F.greatest(F.size("__p") - 2, F.lit(0))
+    chained = F.zip_with(F.slice("__p", 1, n), F.slice("__p", 2, n), lambda a, b: F.when(F.instr(a, " ") > 0, F.hash(a, F.substring_index(b, " ", -1))))
+    sigs = cut.withColumn(to, F.sort_array(F.array_distinct(F.array_compact(chained))))
+    words = F.trim("__w")
+    return sigs.withColumn(to, F.when(F.size(to) > 0, F.col(to)).otherwise(F.array(F.hash(F.when(words != "", words).otherwise(whole))))).drop("__w", "__p")
 
 
 def likeness(a: str, b: str) -> F.Column:
@@ -82,7 +96,8 @@ def followed(docs: DataFrame, derive, columns: list[str]) -> DataFrame:
     firsts = common.values(spark, [(present[k - 1][0], i) for k, (_, i) in enumerate(present)], "__to int, __first long")
     heads = docs.join(F.broadcast(firsts), docs.doc_id.eqNullSafe(F.col("__first"))).groupBy("__to").agg(F.min(F.struct("doc_id", "text")).alias("__r"))
     heads = heads.select("__r.*", F.col("__to").alias("__b"))
-    every = derive(rows.withColumn("__end", F.lit(0)).unionByName(heads.withColumn("__end", F.lit(1))))
+    raw = rows.withColumn("__end", F.lit(0)).unionByName(heads.withColumn("__end", F.lit(1)))
+    every = derive(raw.repartitionByRange(common.parts(spark), "__b"))  # ranges of buckets: tasks of equal size
     w = Window.partitionBy("__b").orderBy("__end", "doc_id", "text")
     led = every.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns})
     return led.where("__end = 0").drop("__b", "__end")
