@@ -19,7 +19,6 @@ Positions count code points; the end is exclusive.
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 
 import pyarrow as pa
