@@ -17,6 +17,7 @@ marks nothing. A hit document word counts once, however many windows cover it.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -150,20 +151,51 @@ def judged(docs: DataFrame, benchmark: DataFrame, columns: list[str], **options)
     return seen.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
 
 
+def cut(text: str, index: Index, hashes: common.HashOf) -> tuple[str, int, int]:
+    """text without its hit words, how many words the first scan hit, and how many there were.
+
+    What stays is joined by a space and scanned again, until nothing is hit: a cut can bring
+    the words of a window together.
+    """
+    n_hit = n_words = 0
+    for turn in itertools.count():
+        spots = list(WORD.finditer(lowered(text)))
+        w = [m[0] for m in spots]
+        mark = np.zeros(len(w), bool)
+        for a, e in index.scan(w, hashes.array(w))[0] if w else ():
+            mark[a:e] = True
+        if not turn:
+            n_hit, n_words = int(mark.sum()), len(w)
+        if not mark.any():
+            return text, n_hit, n_words
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], mark.view(np.int8), [0]))))
+        at, out = 0, []
+        for a, e in zip(edge[::2], edge[1::2], strict=True):
+            out.append(text[at : spots[a].start()])
+            at = spots[e - 1].end()
+        text = " ".join(x.strip() for x in [*out, text[at:]] if x.strip())
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = N, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """docs without what the benchmark holds, in docs' own columns.
 
     remove="documents": contaminated rows go. remove="spans": every hit word goes, from
     the start of a run of hit words to its end, and what stays is joined by a space; rows
-    stay. Each block of the benchmark is applied to what the last one left.
+    stay. remove="both": contaminated rows go, and the hit words of the others, so that no
+    window of the benchmark is left; n_chars, if there is one, follows a text that was cut.
+    With more than one block, all are applied in turn until none hits anything.
     """
     spark, schema, names = docs.sparkSession, docs.schema, docs.columns
-    at = names.index("text")
+    at, drops, cuts = names.index("text"), remove in ("documents", "both"), remove in ("spans", "both")
+    size = names.index("n_chars") if remove == "both" and "n_chars" in names else None
 
-    if remove == "documents" and (made := list(blocks(benchmark, n, block_windows))) and len(made) > 1:
+    many = len(list(blocks(benchmark, n, block_windows))) > 1
+    if drops and many:
         hashed = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in names])).withColumn("__text2", F.sha2("text", 256))
         bad = judged(hashed, benchmark, ["__row", "__text2"], n=n, block_windows=block_windows).where("contaminated").select("__row", "__text2").distinct()
-        return hashed.join(bad, ["__row", "__text2"], "left_anti").select(*[F.col(f"`{c}`") for c in names])
+        docs = hashed.join(bad, ["__row", "__text2"], "left_anti").select(*[F.col(f"`{c}`") for c in names])
+        if not cuts:
+            return docs
 
     def step(shared):
         def task(batches):
@@ -172,29 +204,30 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: i
                 for start in range(0, whole.num_rows, 512):
                     b = whole.slice(start, 512)
                     texts, stay = b.column(at).to_pylist(), []
+                    sizes = b.column(size).to_pylist() if size is not None else None
                     for i, text in enumerate(texts):
-                        spots = list(WORD.finditer(lowered(text))) if text else []
-                        w = [m[0] for m in spots]
-                        mark = np.zeros(len(w), bool)
-                        for a, e in ix.scan(w, hashes.array(w))[0] if w else ():
-                            mark[a:e] = True
-                        stay.append(remove == "spans" or not mark.any() or SHARE * int(mark.sum()) < len(w))
-                        if remove == "spans" and mark.any():
-                            edge = np.flatnonzero(np.diff(np.concatenate(([0], mark.view(np.int8), [0]))))
-                            cut, out = 0, []
-                            for a, e in zip(edge[::2], edge[1::2], strict=True):
-                                out.append(text[cut : spots[a].start()])
-                                cut = spots[e - 1].end()
-                            texts[i] = " ".join(x.strip() for x in [*out, text[cut:]] if x.strip())
-                    if remove == "spans":
+                        left, n_hit, n_words = cut(text, ix, hashes) if text else (text, 0, 0)
+                        stay.append(many or not drops or not n_hit or SHARE * n_hit < n_words)
+                        if n_hit:
+                            texts[i] = left
+                            if sizes:
+                                sizes[i] = len(left)
+                    if cuts:
                         b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+                        if sizes is not None:
+                            b = b.set_column(size, b.schema.field(size), pa.array(sizes, b.schema.field(size).type))
                     yield b.filter(pa.array(stay, pa.bool_()))
 
         return task
 
-    for block in blocks(benchmark, n, block_windows):
-        docs = docs.mapInArrow(step(spark.sparkContext.broadcast(Index(block, n))), schema)
-    return docs
+    while True:
+        for block in blocks(benchmark, n, block_windows):
+            docs = docs.mapInArrow(step(spark.sparkContext.broadcast(Index(block, n))), schema)
+        if not many:
+            return docs
+        docs = common.keep(docs, "cut")  # a cut by one block can make a window of another
+        if all(scanned(docs, Index(block, n), []).where("size(hits) > 0").isEmpty() for block in blocks(benchmark, n, block_windows)):
+            return docs
 
 
 def joined_sha256(items: list[str]) -> str:
