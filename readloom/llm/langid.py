@@ -22,7 +22,9 @@ not held out. Repeated rows each get their row.
 from __future__ import annotations
 
 import math
+import random
 import re
+import statistics
 
 import numpy as np
 import pyarrow as pa
@@ -205,21 +207,75 @@ def predictions(docs: DataFrame, texts: dict[str, list[str]], columns: list[str]
     return of.mapInArrow(task, schema)
 
 
-#: A text is rejected if its parse takes more bits a character than this: letters at random do.
-REJECT_BITS = 8.0
+#: A text is judged against windows of the longest of these lengths that it reaches, and not at all below the first.
+LENGTHS, FOLDS, LEAST_WINDOWS = (64, 128, 256, 512, 1024), 5, 10
 
 
-def known_language(docs: DataFrame, texts: dict[str, list[str]], reject_bits: float = REJECT_BITS) -> DataFrame:
+def parse(text: str, moves: list[dict]) -> int:
+    """How many pieces a text needs, as Model counts them."""
+    n, state = 1, 0
+    for c in text:
+        to = moves[state].get(c)
+        if to is None:
+            n, to = n + 1, moves[0].get(c, 0)
+        state = to
+    return n
+
+
+def fits(texts: dict[str, list[str]]) -> dict[str, list[tuple[int, float]]]:
+    """language -> (length, pieces a character), rising: a text of that length that needs more is in no known language.
+
+    Each fifth of a language's text is parsed by the other four, in windows of that length, and
+    so are the same windows with their letters shuffled: both have the length of the text that
+    is judged, and both were parsed by as much text, so that neither length nor amount of
+    training shifts the limit. It lies midway between the worst window and the median shuffled
+    one; where these aren't apart, or windows are few, that length has no limit.
+    """
+    out: dict[str, list[tuple[int, float]]] = {}
+    share = CHARS_IN_ALL // max(1, len(texts))
+    for k, v in texts.items():
+        joined = "\n".join(v)[:share]
+        own, mixed = {n: [] for n in LENGTHS}, {n: [] for n in LENGTHS}
+        size, rnd = -(-len(joined) // FOLDS), random.Random(0)
+        for at in range(0, len(joined), max(1, size)):
+            held = joined[at : at + size].replace("\n", " ")
+            moves = SuffixAutomaton([c if c != "\n" else -1 for c in joined[:at] + "\n" + joined[at + size :]]).next
+            for n in LENGTHS:
+                for start in range(0, len(held) - n + 1, n):
+                    w = held[start : start + n]
+                    own[n].append(parse(w, moves) / n)
+                    mixed[n].append(parse("".join(rnd.sample(w, n)), moves) / n)
+        worst = [(n, max(own[n]), statistics.median(mixed[n])) for n in LENGTHS if len(own[n]) >= LEAST_WINDOWS]
+        out[k] = [(n, (a + b) / 2) for n, a, b in worst if a < b]
+    return out
+
+
+def fitting(m: Model, limits: dict[str, list[tuple[int, float]]], texts: list[str | None]) -> list[bool]:
+    """Whether each text is in a known language: not "und", and no worse parsed than a text of its length."""
+    names, _, bits = m.predict(texts)
+    out = []
+    for text, name, x in zip(texts, names, bits, strict=True):
+        of = limits.get(name, [])
+        rate = x / m.bits[m.languages.index(name)] if of else 0.0
+        if of and rate > min(limit for _, limit in of):
+            size = len(plain(text))
+            of = [limit for n, limit in of if n <= size]
+            out.append(not of or rate <= of[-1])
+        else:
+            out.append(name != "und")
+    return out
+
+
+def known_language(docs: DataFrame, texts: dict[str, list[str]]) -> DataFrame:
     """docs, in its own columns, without texts that are in no known language ("und", or no fit)."""
-    shared, at, schema = docs.sparkSession.sparkContext.broadcast(texts), docs.columns.index("text"), docs.schema
+    shared, at, schema = docs.sparkSession.sparkContext.broadcast((texts, fits(texts))), docs.columns.index("text"), docs.schema
 
     def task(batches):
-        m = model(shared.value)
+        m, limits = model(shared.value[0]), shared.value[1]
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 b = whole.slice(start, 512)
-                names, _, bits = m.predict(b.column(at).to_pylist())
-                yield b.filter(pa.array([n != "und" and x <= reject_bits for n, x in zip(names, bits, strict=True)], pa.bool_()))
+                yield b.filter(pa.array(fitting(m, limits, b.column(at).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(task, schema)
 

@@ -6,7 +6,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from readloom.llm import common, decontaminate  # noqa: E402
+from readloom.llm import common, decontaminate, langid  # noqa: E402
 
 
 def plain_words(n, seed):
@@ -30,3 +30,16 @@ def test_no_window_of_the_benchmark_is_left(spark, tmp_path, block):
     assert by[1].text == plain_words(700, 3) + " . " + plain_words(700, 4) and by[2].text == plain_words(2000, 5)
     assert all(r.n_chars == len(r.text) for r in by.values() if r.text)
     assert decontaminate.judged(left, bench, ["doc_id"]).where("n_hit > 0").isEmpty()
+
+
+@pytest.mark.parametrize("size", [3_000, 50_000])
+def test_short_texts_stay_and_letters_at_random_go(spark, size):
+    rnd = random.Random(1)
+    stems = ["".join(rnd.choices("etaoinshrdlu", k=rnd.randint(2, 6))) for _ in range(150)]
+    prose = lambda n: " ".join(rnd.choice(stems) for _ in range(n))
+    noise = lambda n: "".join(rnd.choices("etaoinshrdlucmfwyp ", k=n))
+    texts = {k: [prose(size // 5)[:size]] for k in ("a", "b")}
+    short = ["A.", "OK", "Jazz!", "x y", "w"]
+    rows = [*short, *[prose(n) for n in (5, 30, 300)], *[noise(n) for n in (100, 600, 5000)]]
+    left = langid.known_language(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), texts)
+    assert {r.doc_id for r in left.collect()} == set(range(len(short) + 3))
