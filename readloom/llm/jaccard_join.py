@@ -321,10 +321,11 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, int]:
-    """A table, and the seed of its keys: doc_id, node (key of the shingle set), class_id, n_links, copies of each row, stored.
+    """A table, and the seed of its keys: doc_id, node (key of the shingle set), class_id, n_links, copies, first of each row, stored.
 
     class_id: the least doc_id of all near copies; n_links: other texts (classes) linked with
-    this one; copies: other rows with the same shingles.
+    this one; copies: other rows with the same shingles; first: the node has the least
+    (doc_id, node) of all near copies, nulls last.
     """
     seed = 0
     while True:
@@ -341,12 +342,13 @@ def join(docs: DataFrame) -> tuple[DataFrame, int]:
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     labels = components(found.where("b is not null").select("a", "b"))
     linked = labels.join(classes.select("node", "doc_id"), "node")
-    least = linked.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    result = labels.join(least, "label").join(links, "node").select("node", "class_id", "n_links")
+    first = F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node"))
+    least = linked.groupBy("label").agg(F.min("doc_id").alias("class_id"), first.alias("first_node"))
+    result = labels.join(least, "label").join(links, "node").select("node", "class_id", "n_links", "first_node")
     result = classes.select("node", F.col("doc_id").alias("own"), F.col("rows")).join(result, "node", "left")
-    result = result.select("node", F.coalesce("class_id", "own").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("rows") - 1).alias("copies"))
-    none = rows.where("n = 0").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("copies"))
-    some = rows.where("n > 0").select("doc_id", "node").join(result, "node").select("doc_id", "node", "class_id", "n_links", "copies")
+    result = result.select("node", (F.coalesce("first_node", "node") == F.col("node")).alias("first"), F.coalesce("class_id", "own").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("rows") - 1).alias("copies"))
+    none = rows.where("n = 0").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("copies"), F.lit(True).alias("first"))
+    some = rows.where("n > 0").select("doc_id", "node").join(result, "node").select("doc_id", "node", "class_id", "n_links", "copies", "first")
     return some.union(none), seed
 
 
@@ -369,11 +371,12 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """docs, in its own columns, with one row of each near-duplicate class: that of least doc_id.
 
     Rows without words stay. Rows are told apart by doc_id; only where a doc_id repeats, by their class key too.
+    Of near texts with one doc_id, or all with a null one, that of least key stays.
     """
     joined, seed = join(docs)
     seen = common.keep(joined, "joined")
     repeated = common.keep(seen.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id")), "repeated")
-    stay = seen.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct()
+    stay = seen.where(F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct()
     own = F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
     if repeated.isEmpty():
         return docs.join(stay, own, "left_semi")
@@ -385,7 +388,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    return join(common.table(spark, sf_dir, "documents"))[0].drop("node")
+    return join(common.table(spark, sf_dir, "documents"))[0].drop("node", "first")
 
 
 #: doc_id, class_id, n_links and copies in DuckDB's SQL, by comparing all sets that share a shingle.

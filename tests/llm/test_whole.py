@@ -6,7 +6,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from readloom.llm import common, decontaminate, langid  # noqa: E402
+from readloom.llm import common, decontaminate, jaccard_join, langid  # noqa: E402
 
 
 def plain_words(n, seed):
@@ -43,3 +43,11 @@ def test_short_texts_stay_and_letters_at_random_go(spark, size):
     rows = [*short, *[prose(n) for n in (5, 30, 300)], *[noise(n) for n in (100, 600, 5000)]]
     left = langid.known_language(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), texts)
     assert {r.doc_id for r in left.collect()} == set(range(len(short) + 3))
+
+
+def test_one_row_of_near_texts_with_one_doc_id_stays(spark):
+    a, b, c = (plain_words(200, k) for k in (1, 2, 3))
+    rows = [(5, a), (5, a + " more"), (5, a + " and more"), (None, b), (None, b + " more"), (7, c), (7, c + " more"), (6, c + " less"), (5, plain_words(30, 4)), (9, ""), (9, "")]
+    left = [(r.doc_id, r.text) for r in jaccard_join.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    kinds = sorted((str(i), t[:20]) for i, t in left)
+    assert kinds == sorted([("5", a[:20]), ("None", b[:20]), ("6", c[:20]), ("5", plain_words(30, 4)[:20]), ("9", ""), ("9", "")])
