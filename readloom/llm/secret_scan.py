@@ -4,10 +4,12 @@ Base: patterns for assigned secrets, access keys and long hexadecimal strings. T
 method adds random strings: a candidate is a maximal run of A-Z a-z 0-9 + / _ = - of
 `MIN_LENGTH` characters or more; it is encoded with a public byte-level BPE vocabulary,
 and natural words take many characters a token while random ones take few. A candidate
-counts if it has at most `MAX_RATIO` characters a token and mixes digits with letters,
-unless it is a known digest (exactly 32, 40, 56, 64, 96 or 128 hexadecimal digits of one
-case that a digest's name or "sha"/"md5"/"commit" precedes), an identifier (UUID, a
-number with separators, a date, a path or URL part of words) or lies in a base span.
+counts if it has at most `MAX_RATIO` characters a token, with digits or without, unless
+it is a known digest (exactly 32, 40, 56, 64, 96 or 128 hexadecimal digits of one case
+that a digest's name or "sha"/"md5"/"commit" precedes), an identifier (UUID, a number
+with separators, a date; words joined by separators or with a number after them, where
+each run of `WORD_LENGTH` letters or more takes over `MAX_RATIO` characters a token) or
+lies in a base span.
 
 Linear-time scans by a compiled engine (RE2, through Arrow) find the few texts that hold
 any candidate; only those reach Python's patterns. No shuffle.
@@ -36,11 +38,14 @@ MANY_HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 
 MIN_LENGTH, MAX_RATIO = 16, 2.2
+WORD_LENGTH = 8  # shorter letters tell nothing of themselves
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_SIZES = {32, 40, 56, 64, 96, 128}
 DIGEST_NAME = re.compile(r"(?:md5|sha-?\d*|digest|checksum|commit|etag|integrity|hash)[\s:=(\"'-]*$", re.IGNORECASE)
-IDENTIFIER = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9/_=+-]+|(?:[A-Za-z]+|[0-9]+)(?:[/_=+-]+(?:[A-Za-z]+|[0-9]+))+|[A-Za-z]+[0-9]{1,8}")
+IDENTIFIER = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9/_=+-]+")
+OF_WORDS = re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[/_=+-]+(?:[A-Za-z]+|[0-9]+))+|[A-Za-z]+[0-9]{1,8}")
+LETTERS = re.compile(r"[A-Za-z]{%d,}" % WORD_LENGTH)
 
 #: RE2: a text without a match has no base span and no candidate.
 SOME = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[A-Za-z0-9+/_=-]{%d}" % MIN_LENGTH
@@ -76,10 +81,12 @@ def random_spans(text: str, ratio, base: list[tuple[int, int, int]], max_ratio:
     out = []
     for m in CANDIDATE.finditer(text):
         s, a, e = m[0].strip("=-_/+"), m.start(), m.end()
-        if len(s) < MIN_LENGTH or not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
+        if len(s) < MIN_LENGTH:
             continue
         if any(x < e and a < y for x, _, y in base) or IDENTIFIER.fullmatch(s):
             continue
+        if OF_WORDS.fullmatch(s) and all(ratio(w) > max_ratio for w in LETTERS.findall(s)):
+            continue
         if len(s) in DIGEST_SIZES and DIGEST.fullmatch(s) and DIGEST_NAME.search(text[max(0, a - 24) : a]):
             continue
         if ratio(s) <= max_ratio:

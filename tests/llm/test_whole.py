@@ -5,8 +5,10 @@ import random
 import pytest
 
 pytest.importorskip("public_tokenizers")
+import public_tokenizers  # noqa: E402
+
 import corpus_pipeline  # noqa: E402
-from readloom.llm import common, decontaminate, jaccard_join, langid  # noqa: E402
+from readloom.llm import common, decontaminate, jaccard_join, langid, secret_scan  # noqa: E402
 
 
 def plain_words(n, seed):
@@ -51,3 +53,16 @@ def test_one_row_of_near_texts_with_one_doc_id_stays(spark):
     left = [(r.doc_id, r.text) for r in jaccard_join.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     kinds = sorted((str(i), t[:20]) for i, t in left)
     assert kinds == sorted([("5", a[:20]), ("None", b[:20]), ("6", c[:20]), ("5", plain_words(30, 4)[:20]), ("9", ""), ("9", "")])
+
+
+def test_random_letters_without_digits_are_secrets():
+    ratio = secret_scan.Efficiency(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rnd, found = random.Random(7), lambda t: [t[s:e] for s, _, e in secret_scan.random_spans(t, ratio, [])]
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        for _ in range(50):
+            key = "".join(rnd.choices(letters, k=24))
+            assert found(f"a key {key}, then") == [key]
+    for key in ("xqzvkjwpqhgtrxbn4821", "qXvJzKwPqH/GtRxBnZkQ"):
+        assert found(f"a key {key}, then") == [key]
+    for quiet in ("internationalisation", "getElementsByClassName", "Rechtsschutzversicherungsgesellschaften", "internationalisation2", "information/retrieval-systems_2024", "4952935900253052", "----------------"):
+        assert found(quiet) == []
