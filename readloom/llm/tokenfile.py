@@ -50,6 +50,8 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tok, self.dtype = Tokenizer.from_file(path), dtype
+        #: What the tokenizer finds in raw text only; a chunk that holds one in any case stays as it is.
+        self.added = [t for x in self.tok.get_added_tokens_decoder().values() if (t := x.content.strip().lower())]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.by_chunk = self.splits_at_space()
@@ -58,16 +60,18 @@ class WordCache:
         return self.tok.encode(text, add_special_tokens=False).ids
 
     def splits_at_space(self) -> bool:
-        probe = "It's a  Probe,\n1 2\tx\r\ny don't... ÉTÉ### é%%% <|endoftext|> "
+        probe = "It's a  Probe,\n1 2\tx\r\ny don't... ÉTÉ### é%%% <|endoftext|> a<|ENDOFTEXT|>b "
         return self.ids(probe) == [i for c in self.chunks(probe) for p in self.pieces(c) for i in self.ids(p)]
 
     @staticmethod
     def chunks(text: str) -> list[str]:
         return [c for c in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if c]
 
-    @staticmethod
-    def pieces(chunk: str) -> tuple[str, ...]:
-        """The chunk in lower case, and apart from it the signs after its last letter."""
+    def pieces(self, chunk: str) -> tuple[str, ...]:
+        """The chunk in lower case, and apart from it the signs after its last letter; one with an added token whole."""
+        low = chunk.lower()
+        if any(t in low for t in self.added):
+            return (chunk,)
         if chunk.isascii() or (max(chunk) < "\u0250" and "\u0130" not in chunk):  # there, one letter's lower case is one letter
             chunk = chunk.lower()
         stem = chunk.rstrip(TAIL)

@@ -2,13 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 
 pytest.importorskip("public_tokenizers")
 import public_tokenizers  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from readloom.llm import common, decontaminate, jaccard_join, langid, secret_scan  # noqa: E402
+from readloom.llm import common, decontaminate, hilbert, jaccard_join, langid, pii, secret_scan, tokenfile  # noqa: E402
 
 
 def plain_words(n, seed):
@@ -66,3 +67,10 @@ def test_random_letters_without_digits_are_secrets():
         assert found(f"a key {key}, then") == [key]
     for quiet in ("internationalisation", "getElementsByClassName", "Rechtsschutzversicherungsgesellschaften", "internationalisation2", "information/retrieval-systems_2024", "4952935900253052", "----------------"):
         assert found(quiet) == []
+
+
+def test_an_added_token_counts_only_as_it_is_written():
+    c = tokenfile.WordCache(public_tokenizers.path("word_bpe_49k.json"), "<u2")
+    texts = ["a <|ENDOFTEXT|> b", "X<|EndOfText|>Y.", "x<|endoftext|>Y <|StartOfText|>, é", "<|ENDOFTEXT|>..."]
+    assert c.by_chunk
+    assert [np.frombuffer(b, "<u2").tolist() for b in c.encode(texts)] == [c.ids(t) for t in texts]
