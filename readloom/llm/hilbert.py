@@ -21,8 +21,11 @@ than the dimensions and text are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import common
 
@@ -62,30 +65,46 @@ def index(cells: list[F.Column], bits: int = BITS) -> F.Column:
     return out
 
 
-def number(c: F.Column, kind: str) -> F.Column:
-    """A long in the order of the column: of text, the first seven bytes."""
-    if kind in ("string", "binary"):
-        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
-    return c.cast("long")
-
-
-def cut_points(df: DataFrame, names: list[str], bits: int = BITS) -> list[list[int]]:
-    """The quantiles of each column, from one pass of bounded sketches."""
+def cut_points(df: DataFrame, names: list[str], bits: int = BITS) -> list[list]:
+    """The quantiles of each column: of numbers from one pass of bounded sketches, of strings from their order."""
     at = [k / (1 << bits) for k in range(1, 1 << bits)]
-    row = df.agg(*[F.percentile_approx(c, at, 10_000).alias(c) for c in names]).first()
-    return [sorted(set(row[c] or [])) for c in names]
+    strings = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)}
+    numbers = [c for c in names if c not in strings]
+    row = df.agg(*[F.percentile_approx(c, at, 10_000).alias(c) for c in numbers]).first() if numbers else {}
+    return [string_cuts(df, c, at) if c in strings else sorted(set(row[c] or [])) for c in names]
+
+
+def string_cuts(df: DataFrame, name: str, at: list[float]) -> list[str]:
+    """The values at these shares of the rows, nulls aside: distinct values in a range exchange, whole strings compared.
+
+    What comes to the driver is a number a partition and at most a value a share.
+    """
+    spark, value = df.sparkSession, F.col(name)
+    counts = df.where(value.isNotNull()).groupBy(value.alias("v")).agg(F.count("*").alias("n"))
+    order = common.keep(counts.repartitionByRange(common.parts(spark), "v").withColumn("p", F.spark_partition_id()), "values")
+    starts, total = [], 0
+    for r in sorted(order.groupBy("p").agg(F.sum("n").alias("n")).collect()):
+        starts.append((r.p, total))
+        total += r.n
+    start = F.broadcast(common.values(spark, starts, "p int, start long"))
+    upto = order.join(start, "p").withColumn("to", F.col("start") + F.sum("n").over(Window.partitionBy("p").orderBy("v")))
+    goals = [max(1, math.ceil(x * total)) for x in at]
+    met = F.lit(False)
+    for g in goals:
+        met = met | ((F.col("to") >= g) & (F.col("to") - F.col("n") < g))
+    return sorted((r.v for r in upto.where(met).select("v").collect()), key=lambda v: v.encode("utf-8", "surrogatepass")) if total else []
 
 
-def cell(c: F.Column, cuts: list[int]) -> F.Column:
+def cell(c: F.Column, cuts: list) -> F.Column:
     """How many cut points are below the value."""
     out = F.lit(0)
     for x in cuts:
-        out = out + F.coalesce(c > x, F.lit(False)).cast("int")
+        out = out + F.coalesce(c > F.lit(x), F.lit(False)).cast("int")
     return out
 
 
 def sharded(rows: DataFrame, dimensions: dict[str, F.Column], tie: list[str], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
-    """rows, and shard, slot, curve. dimensions: name -> long column (see number())."""
+    """rows, and shard, slot, curve. dimensions: name -> long or string column."""
     spark, names = rows.sparkSession, [f"__d_{k}" for k in dimensions]
     read = common.keep(rows.withColumns(dict(zip(names, dimensions.values(), strict=True))), "metadata")
     cells = [cell(F.col(n), cuts) for n, cuts in zip(names, cut_points(read, names, bits), strict=True)]
@@ -107,7 +126,7 @@ def document_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, curve of each row of documents."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     light = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("__h"))
-    dims = {"lang": number(F.col("lang"), "string"), "source": number(F.col("source"), "string"), "size": F.col("size"), "doc_id": F.col("doc_id").cast("long")}
+    dims = {"lang": F.col("lang"), "source": F.col("source"), "size": F.col("size"), "doc_id": F.col("doc_id").cast("long")}
     out = sharded(light, dims, ["__h", "doc_id"], shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 

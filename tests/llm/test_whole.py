@@ -74,3 +74,14 @@ def test_an_added_token_counts_only_as_it_is_written():
     texts = ["a <|ENDOFTEXT|> b", "X<|EndOfText|>Y.", "x<|endoftext|>Y <|StartOfText|>, é", "<|ENDOFTEXT|>..."]
     assert c.by_chunk
     assert [np.frombuffer(b, "<u2").tolist() for b in c.encode(texts)] == [c.ids(t) for t in texts]
+
+
+def test_strings_with_one_prefix_are_told_apart(spark):
+    rows = [(i, f"text {i}", "en", f"commoncrawl-20{i % 16:02d}", 6) for i in range(640)] + [(700, "x", None, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    cuts = hilbert.cut_points(df, ["source", "doc_id", "lang"])
+    assert cuts[0] == [f"commoncrawl-20{k:02d}" for k in range(15)] and cuts[2] == ["en"] and len(cuts[1]) == 15
+    placed = {r.doc_id: r.shard for r in hilbert.document_shards(df).select("doc_id", "shard").collect()}
+    wide = sum(len({s for i, s in placed.items() if i % 16 == k and i < 640}) for k in range(16))
+    assert wide <= 16 * 6  # a source is not in every shard
+    assert hilbert.cut_points(df.limit(0), ["source", "doc_id"]) == [[], []]
