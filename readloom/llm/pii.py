@@ -289,11 +289,16 @@ WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(n
 def model_spans(texts: list[str], m: Model) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) of what the model finds in each text."""
     found: list[set] = [set() for _ in texts]
-    todo = [(i, a, b) for i, t in enumerate(texts) for a, b in stretches(t)]
+    cut: list[set] = [set() for _ in texts]
+    todo = []
+    for i, t in enumerate(texts):
+        of = stretches(t)
+        # whether the parts before and after share windows with this one
+        todo += [(i, a, b, k > 0 and of[k - 1][1] >= a, k + 1 < len(of) and of[k + 1][0] <= b) for k, (a, b) in enumerate(of)]
     for at in range(0, len(todo), 256):
         group = todo[at : at + 256]
         rows, lengths = [], []
-        for i, a, b in group:
+        for i, a, b, *_ in group:
             x = symbols(texts[i][a * STRIDE : b * STRIDE + WINDOW])
             lengths.append(len(x))
             x = np.concatenate([x, np.full((b - a) * STRIDE + WINDOW - len(x), 95)])
@@ -301,7 +306,7 @@ def model_spans(texts: list[str], m: Model) -> list[list[tuple[int, int, int]]]:
         every = np.concatenate(rows)
         scores = np.concatenate([m.emissions(every[k : k + 2048]) for k in range(0, len(every), 2048)])
         em, k = [], 0
-        for (_, a, b), n in zip(group, lengths, strict=True):
+        for (_, a, b, *_), n in zip(group, lengths, strict=True):
             total = np.zeros(((b - a) * STRIDE + WINDOW, TAGS), np.float32)
             weight = np.zeros((len(total), 1), np.float32)
             for w in range(b - a + 1):
@@ -309,19 +314,33 @@ def model_spans(texts: list[str], m: Model) -> list[list[tuple[int, int, int]]]:
                 weight[w * STRIDE : w * STRIDE + WINDOW] += WEIGHT
             em.append((total / weight)[:n])
             k += b - a + 1
-        for (i, a, _), y in zip(group, viterbi(em, m.p["A"]), strict=True):
+        for (i, a, _, shared, shares), y in zip(group, viterbi(em, m.p["A"]), strict=True):
             before = np.concatenate(([0], y[:-1]))
             for s in np.flatnonzero((y % 2 == 1) | ((y > 0) & (before != y) & (before != y - 1))).tolist():
                 kind, e = (int(y[s]) - 1) // 2, s + 1
                 while e < len(y) and y[e] == 2 + 2 * kind:
                     e += 1
                 lo, hi = a * STRIDE + s, a * STRIDE + e
+                into = cut if (shared and s == 0) or (shares and e == len(y)) else found
                 part = texts[i][lo:hi]
                 lo += len(part) - len(part.lstrip(" \n\t.,;:"))
                 hi -= len(part) - len(part.rstrip(" \n\t.,;:"))
                 if hi - lo >= LEAST and TRIGGERS.search(texts[i], lo, hi):
-                    found[i].add((lo, kind, hi))
-    return [sorted(f) for f in found]
+                    into[i].add((lo, kind, hi))
+    return [sorted(f | rejoined(c, f)) for f, c in zip(found, cut, strict=True)]
+
+
+def rejoined(cut: set[tuple[int, int, int]], found: set[tuple[int, int, int]]) -> set[tuple[int, int, int]]:
+    """Of the spans at the edge of a part: those that no span inside a part overlaps; overlapping ones of a kind as one."""
+    out: list[tuple[int, int, int]] = []
+    for lo, kind, hi in sorted(cut, key=lambda x: (x[1], x[0], x[2])):
+        if any(lo < y and x < hi for x, _, y in found):
+            continue
+        if out and out[-1][1] == kind and lo < out[-1][2]:
+            out[-1] = (out[-1][0], kind, max(hi, out[-1][2]))
+        else:
+            out.append((lo, kind, hi))
+    return set(out)
 
 
 SPANS = "spans array<struct<start:long,kind:int,end:long,base:boolean>>"

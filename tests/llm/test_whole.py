@@ -85,3 +85,28 @@ def test_strings_with_one_prefix_are_told_apart(spark):
     wide = sum(len({s for i, s in placed.items() if i % 16 == k and i < 640}) for k in range(16))
     assert wide <= 16 * 6  # a source is not in every shard
     assert hilbert.cut_points(df.limit(0), ["source", "doc_id"]) == [[], []]
+
+
+def test_a_span_over_the_edge_of_a_part_is_whole(monkeypatch):
+    monkeypatch.setattr(pii, "PART", 8)
+    edge = 7 * pii.STRIDE + pii.WINDOW  # where the first part ends
+
+    def viterbi(emissions, a):
+        """The span lies at [edge - 9, edge + 11) of the text, as each part sees it."""
+        out = []
+        for at, em in zip(starts, emissions, strict=True):
+            y = np.zeros(len(em), int)
+            lo, hi = edge - 9 - at, min(edge + 11 - at, len(em))
+            if 0 <= lo < len(em):
+                y[lo:hi] = 2
+                y[lo] = 1
+            out.append(y)
+        return out
+
+    text = "1234567 " * 200
+    starts = [a * pii.STRIDE for a, _ in pii.stretches(text)]
+    monkeypatch.setattr(pii, "viterbi", viterbi)
+    m = pii.Model()
+    part = text[edge - 9 : edge + 11]
+    lo, hi = edge - 9 + len(part) - len(part.lstrip()), edge + 11 - len(part) + len(part.rstrip())
+    assert pii.model_spans([text], m) == [[(lo, 0, hi)]]
