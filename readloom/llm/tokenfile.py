@@ -7,9 +7,9 @@ the same width and the batches are not compressed, so row r of a file is found
 by arithmetic and read from a memory map without a copy. Beside each
 `NAME.arrow` lies `NAME.docs.arrow`: doc_id, offset and n_tokens.
 
-Order: one range exchange on doc_id. File names follow from the partition, and
-each file is written under another name and then renamed, so a repeated task
-leaves one whole file.
+Order: one range exchange on doc_id and, for rows of one doc_id, the beginning of
+the text. File names follow from the partition; each attempt of a task writes files
+of its own and renames them at its end, so a repeated task leaves one whole file.
 
 Edge cases: null doc_id sorts first; null text is an empty text (only the end
 id); a repeated doc_id keeps all its rows, ordered by text; an empty table gives
@@ -18,11 +18,15 @@ no files; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,66 +35,136 @@ from pyspark.sql import functions as F
 from . import common
 
 SEQ_LEN, BATCH_ROWS = 2048, 256
-#: Chunks that a worker remembers, in two generations; then it forgets the older one. Speed only.
-CACHE = 600_000
-#: A run of these after a letter is a piece of its own for the tokenizers used here.
-TAIL = ".,;:!?%$&*#"
+#: Entries of one generation of a worker's memory; of two the older one is then forgotten. Speed only.
+REMEMBERED, LONGEST = 400_000, 64
+#: Bytes of text that are encoded together (one text at least).
+SLICE_BYTES = 8 << 20
+
+# The normaliser and the splitting whose result white space cuts into independent parts.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, BYTES]}
+
+#: Below this, a text is its own NFC, classes are settled, and a letter's lower case is one letter or has an ODD one.
+PLAIN = 0x250
+ODD = re.compile(f"[\x00-\x1f{chr(PLAIN)}-\U0010ffff]")
+
+
+def members(major: str) -> str:
+    return "".join(re.escape(chr(i)) for i in range(PLAIN) if unicodedata.category(chr(i))[0] == major)
+
+
+#: SPLIT for text without ODD characters, after lower-casing.
+PIECES = re.compile(SPLIT.replace(r"\s", r"\x20\x85\xa0").replace(r"\p{L}", members("L")).replace(r"\p{N}", members("N")))
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if visible Latin-1, else the next from U+0100."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = iter(range(256, 512))
+    return [chr(b) if b in seen else chr(next(others)) for b in range(256)]
+
+
+class Memory:
+    """A dict in two generations."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def found(self, keys: list[str], make) -> list[bytes]:
+        """The value of each of the distinct keys; make(keys) gives those that are not known."""
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        got = list(map(new.get, keys))
+        missing = []
+        for i, v in enumerate(got):
+            if v is None:
+                if (v := old.get(keys[i])) is None:
+                    missing.append(i)
+                else:
+                    got[i] = new[keys[i]] = v
+        for i, v in zip(missing, make([keys[i] for i in missing]), strict=True):
+            got[i] = v
+            if len(keys[i]) <= LONGEST:
+                new[keys[i]] = v
+        return got
 
 
 class WordCache:
-    """A text's ids, as bytes, from those of its white-space free chunks.
+    """Ids of texts under a tokenizer.
 
-    The tokenizers used here lower-case, drop white space and never join ids across it, nor
-    across a letter and the signs after it, so a text's ids are those of its chunks, one after
-    another. splits_at_space() tries that on a tokenizer; without it whole texts are encoded.
+    Where the tokenizer's own settings are those above, white space separates texts into chunks
+    whose ids follow one another. A slice's distinct chunks are found by Arrow, those without an
+    ODD character, in lower case too, are lower-cased and split as the tokenizer would, and only pieces that were not
+    met before reach its BPE model. A chunk with an ODD character, or with an added token's text
+    in any case, is given to the tokenizer as it is. With other settings whole texts are.
     """
 
     def __init__(self, path: str, dtype: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tok, self.dtype = Tokenizer.from_file(path), dtype
-        #: What the tokenizer finds in raw text only; a chunk that holds one in any case stays as it is.
-        self.added = [t for x in self.tok.get_added_tokens_decoder().values() if (t := x.content.strip().lower())]
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.by_chunk = self.splits_at_space()
+        self.tok, self.dtype, self.width = Tokenizer.from_file(path), dtype, np.dtype(dtype).itemsize
+        said = json.loads(self.tok.to_str())
+        m = said["model"]
+        self.by_chunk = said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == PRE_TOKENIZER and m["type"] == "BPE" and not m["dropout"] and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in said["added_tokens"])
+        #: What the tokenizer finds in raw text only.
+        self.added = [t["content"].lower() for t in said["added_tokens"]]
+        self.chunks, self.pieces, self.letters = Memory(), Memory(), byte_letters()
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of_pieces(self, pieces: list[str]) -> list[bytes]:
+        tokenize, letters = self.tok.model.tokenize, self.letters
+        shown = [p if p.isascii() and "\x7f" not in p else "".join([letters[b] for b in p.encode()]) for p in pieces]
+        return [np.array([t.id for t in tokenize(p)], self.dtype).tobytes() for p in shown]
+
+    def of_chunks(self, chunks: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(chunks)
+        raw, cut = [], []
+        for i, c in enumerate(chunks):
+            low = c.lower()
+            if ODD.search(c) or ODD.search(low) or any(t in low for t in self.added):
+                raw.append(i)
+            else:
+                cut.append((i, PIECES.findall(low)))
+        some = list({p for _, ps in cut for p in ps})
+        code = dict(zip(some, self.pieces.found(some, self.of_pieces), strict=True))
+        for i, ps in cut:
+            out[i] = b"".join([code[p] for p in ps])
+        for i, v in zip(raw, self.whole([chunks[i] for i in raw]), strict=True):
+            out[i] = v
+        return out
 
     def ids(self, text: str) -> list[int]:
+        """The tokenizer's own ids of one text."""
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def splits_at_space(self) -> bool:
-        probe = "It's a  Probe,\n1 2\tx\r\ny don't... ÉTÉ### é%%% <|endoftext|> a<|ENDOFTEXT|>b "
-        return self.ids(probe) == [i for c in self.chunks(probe) for p in self.pieces(c) for i in self.ids(p)]
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        return [c for c in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if c]
-
-    def pieces(self, chunk: str) -> tuple[str, ...]:
-        """The chunk in lower case, and apart from it the signs after its last letter; one with an added token whole."""
-        low = chunk.lower()
-        if any(t in low for t in self.added):
-            return (chunk,)
-        if chunk.isascii() or (max(chunk) < "\u0250" and "\u0130" not in chunk):  # there, one letter's lower case is one letter
-            chunk = chunk.lower()
-        stem = chunk.rstrip(TAIL)
-        return (stem, chunk[len(stem) :]) if len(stem) < len(chunk) and stem and stem[-1].isalpha() else (chunk,)
-
     def encode(self, texts: list[str]) -> list[bytes]:
+        ids, counts = self.laid(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
+
+    def laid(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
+        texts = pc.fill_null(texts, "")
         if not self.by_chunk:
-            return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-        every = [self.chunks(t) for t in texts]
-        if len(self.new) > CACHE:
-            self.old, self.new = self.new, {}
-        missing = set().union(*every) - self.new.keys()
-        again = missing & self.old.keys()
-        self.new.update((c, self.old[c]) for c in again)
-        cut = {c: self.pieces(c) for c in missing - again}
-        parts = list({p for ps in cut.values() for p in ps})
-        code = {p: np.asarray(e.ids, self.dtype).tobytes() for p, e in zip(parts, self.tok.encode_batch_fast(parts, add_special_tokens=False), strict=True)}
-        self.new.update((c, b"".join(map(code.__getitem__, ps))) for c, ps in cut.items())
-        return [b"".join(map(self.new.__getitem__, chunks)) for chunks in every]
+            ids = self.whole(texts.to_pylist())
+            return np.frombuffer(b"".join(ids), self.dtype), np.array([len(x) // self.width for x in ids], np.int64)
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        every = self.chunks.found(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.of_chunks)
+        size = np.fromiter(map(len, every), np.int64, len(every)) // self.width
+        start, code = np.cumsum(size) - size, coded.indices.to_numpy()
+        of = size[code]
+        upto = np.concatenate(([0], np.cumsum(of)))
+        at = np.repeat(start[code] - upto[:-1], of)
+        at += np.arange(len(at))
+        edges = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
+        return np.frombuffer(b"".join(every), self.dtype)[at], np.diff(upto[edges])
 
 
 CACHES: dict[tuple[str, str], WordCache] = {}
@@ -104,6 +178,16 @@ def cache_of(path: str, dtype: str) -> WordCache:
     return CACHES[path, dtype]
 
 
+def cut_by_bytes(b: pa.RecordBatch, column: int, most: int = SLICE_BYTES):
+    """b in runs of rows whose texts have `most` bytes at most, or one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at, before = 0, 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(size, before + most, side="right")))
+        yield b.slice(at, to - at)
+        at, before = to, int(size[to - 1])
+
+
 def id_type(vocab: int) -> str:
     return "<u2" if vocab <= 1 << 16 else "<u4"
 
@@ -114,15 +198,15 @@ class Writer:
     def __init__(self, fs: pafs.FileSystem, path: str, dtype: str, seq_len: int) -> None:
         kind = pa.uint16() if dtype == "<u2" else pa.uint32()
         self.schema = pa.schema([("ids", pa.list_(kind, seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
-        self.fs, self.path, self.dtype, self.kind, self.seq_len = fs, path, np.dtype(dtype), kind, seq_len
-        self.sink = fs.open_output_stream(f"{path}.part")
+        self.path, self.dtype, self.kind, self.seq_len = path, np.dtype(dtype), kind, seq_len
+        self.sink = fs.open_output_stream(path)
         self.out = pa.ipc.new_file(self.sink, self.schema)
         self.pending: list[bytes] = []
         self.size = 0
 
-    def add(self, ids: bytes) -> None:
-        self.pending.append(ids)
-        self.size += len(ids)
+    def add(self, ids: np.ndarray) -> None:
+        self.pending.append(ids.tobytes())
+        self.size += ids.nbytes
         if self.size >= self.seq_len * BATCH_ROWS * self.dtype.itemsize:
             self.flush(False)
 
@@ -143,9 +227,20 @@ class Writer:
         self.flush(True)
         self.out.close()
         self.sink.close()
-        self.fs.move(f"{self.path}.part", self.path)
 
 
+def renamed(fs: pafs.FileSystem, path: str, to: str) -> None:
+    """Give a finished file its name; another attempt of the task may have done so with the same bytes."""
+    try:
+        fs.move(path, to)
+    except OSError:
+        if fs.get_file_info(to).type != pafs.FileType.File:
+            raise
+        fs.delete_file(path)
+
+
+#: Characters of a text by which rows of one doc_id are dealt to tasks; the order within is that of whole texts.
+RANGE_CHARS = 64
 DOCS = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -162,35 +257,40 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, seq_len
     def task(batches):
         fs, top = opened(folder)
         fs.create_dir(top, recursive=True)
-        part = TaskContext.get().partitionId()
-        name, writer, total, rows = f"part-{part:06d}", None, 0, 0
-        cache, end = cache_of(tokenizer, dtype), np.asarray([end_id], dtype).tobytes()
-        index, sink, width = None, None, np.dtype(dtype).itemsize
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                some = b.slice(at, 512)
+        context = TaskContext.get()
+        part = context.partitionId()
+        name, own = f"part-{part:06d}", f"_{part:06d}-{context.taskAttemptId()}"
+        writer, index, sink, total, rows = None, None, None, 0, 0
+        cache = cache_of(tokenizer, dtype)
+        for whole in batches:
+            for b in cut_by_bytes(whole, 1):
                 if writer is None:
-                    writer = Writer(fs, f"{top}/{name}.arrow", dtype, seq_len)
-                    sink = fs.open_output_stream(f"{top}/{name}.docs.arrow.part")
+                    writer = Writer(fs, f"{top}/{own}.arrow", dtype, seq_len)
+                    sink = fs.open_output_stream(f"{top}/{own}.docs.arrow")
                     index = pa.ipc.new_file(sink, DOCS)
-                offsets, counts = [], []
-                for ids in cache.encode([t or "" for t in some.column(1).to_pylist()]):
-                    ids += end
-                    writer.add(ids)
-                    offsets.append(total)
-                    counts.append(len(ids) // width)
-                    total += counts[-1]
-                index.write_batch(pa.record_batch([some.column(0), pa.array(offsets, pa.int64()), pa.array(counts, pa.int64())], schema=DOCS))
-                rows += some.num_rows
+                ids, counts = cache.laid(b.column(1))
+                counts = counts + 1
+                ends = np.cumsum(counts)
+                out = np.full(int(ends[-1]), end_id, dtype)
+                plain = np.ones(len(out), bool)
+                plain[ends - 1] = False
+                out[plain] = ids
+                writer.add(out)
+                index.write_batch(pa.record_batch([b.column(0), pa.array(total + ends - counts, pa.int64()), pa.array(counts, pa.int64())], schema=DOCS))
+                total += len(out)
+                rows += b.num_rows
         if writer is not None:
             writer.close()
             index.close()
             sink.close()
-            fs.move(f"{top}/{name}.docs.arrow.part", f"{top}/{name}.docs.arrow")
+            for kind in ("arrow", "docs.arrow"):
+                renamed(fs, f"{top}/{own}.{kind}", f"{top}/{name}.{kind}")
             yield pa.record_batch({"part": pa.array([part], pa.int64()), "rows": pa.array([rows], pa.int64()), "ids": pa.array([total], pa.int64())})
 
     spark = docs.sparkSession
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(common.parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # the beginning of the text, so that rows of one doc_id (or of none) are dealt out, in the order in which they are sorted
+    ordered = rows.repartitionByRange(common.parts(spark), "doc_id", F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("doc_id", "text")
     made, start = [], 0
     for part, rows, ids in sorted(map(tuple, ordered.mapInArrow(task, "part long, rows long, ids long").collect())):  # a row a file
         made.append((f"part-{part:06d}", start, rows, ids))

@@ -76,6 +76,31 @@ def test_an_added_token_counts_only_as_it_is_written():
     assert [np.frombuffer(b, "<u2").tolist() for b in c.encode(texts)] == [c.ids(t) for t in texts]
 
 
+def test_ids_are_the_tokenizers_in_any_script():
+    c = tokenfile.WordCache(public_tokenizers.path("word_bpe_49k.json"), "<u2")
+    rnd = random.Random(3)
+    every = [chr(i) for i in range(0x11000) if not 0xD800 <= i < 0xE000] + [chr(i) for i in range(0x1D400, 0x1D500)] + ["\U0001f600"]
+    latin, signs = [chr(i) for i in range(0x250)], [*".,;:!?'\u2019smtd \t\n", "'s", "'re", "\u0130", "\u0958", "\u095d", "\u09dc", "\u0301", "<|endoftext|>", "<|EndOfText|>", "\u03a3", "\x1c", "\x85", "\xa0", "\u2028"]
+    odd = [c for c in every if len(c.lower()) > 1 or c.lower() != c and c.lower().upper() != c]
+    texts = [x + y for x in odd for y in ".,'! "]
+    while len(texts) < 200_000:
+        of = rnd.choice((every, latin, latin))
+        texts.append("".join(rnd.choice(signs if rnd.random() < 0.4 else of) for _ in range(rnd.randint(1, 8))))
+    texts.append("DEN\u0130ZL\u0130.")
+    for at in range(0, len(texts), 50_000):
+        some = texts[at : at + 50_000]
+        assert c.by_chunk and c.encode(some) == c.whole(some)
+    assert np.frombuffer(c.encode(texts[-1:])[0], "<u2").tolist() == c.ids(texts[-1])
+
+
+def test_slices_of_texts_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    b = pa.record_batch({"t": pa.array(["ab", None, "x" * 50, "", "c" * 9, "d"])})
+    got = [x.column(0).to_pylist() for x in tokenfile.cut_by_bytes(b, 0, 12)]
+    assert got == [["ab", None], ["x" * 50], ["", "c" * 9], ["d"]]
+
+
 def test_strings_with_one_prefix_are_told_apart(spark):
     rows = [(i, f"text {i}", "en", f"commoncrawl-20{i % 16:02d}", 6) for i in range(640)] + [(700, "x", None, None, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
