@@ -26,7 +26,7 @@ def test_no_window_of_the_benchmark_is_left(spark, tmp_path, block):
     spark.createDataFrame([(i, t, t and len(t)) for i, t in rows], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item), (2, other)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs, bench = (common.table(spark, str(tmp_path), t) for t in ("documents", "benchmark"))
-    left = corpus_pipeline.without_benchmark(spark, docs, str(tmp_path)) if block > 1 else decontaminate.clean(docs, bench, "both", block_windows=block)
+    left = decontaminate.clean(docs, bench, "both", block_windows=block)
     by = {r.doc_id: r for r in left.collect()}
     text = dict(rows)
     assert set(by) == {1, 2, 4, 5} and by[4].text == text[4] and by[5].text is None
@@ -76,6 +76,43 @@ def test_an_added_token_counts_only_as_it_is_written():
     assert [np.frombuffer(b, "<u2").tolist() for b in c.encode(texts)] == [c.ids(t) for t in texts]
 
 
+def windows_of(text, n=13):
+    w = decontaminate.words(text)
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_WINDOWS, 1])
+def test_documents_with_a_window_of_the_benchmark_go(spark, tmp_path, block):
+    item, other, short = plain_words(59, 1), plain_words(13, 2), plain_words(5, 9)
+    w = item.split()
+    rows = [(1, plain_words(700, 3) + " " + " ".join(w[20:33]).upper() + ". " + plain_words(700, 4), "a"), (2, plain_words(900, 5) + " " + " ".join(w[:12]) + " x " + " ".join(w[12:24]), "b"), (3, plain_words(4000, 6) + ", " + other, "c")]
+    rows += [(4, plain_words(200, 7) + " " + short, "d"), (5, plain_words(50, 8) + " " + short, "e"), (6, None, None), (7, "", "f"), (None, item, "g"), (8, plain_words(40, 10), "h"), (8, plain_words(40, 10), "h")]
+    spark.createDataFrame(rows, "doc_id long, text string, hits string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, other), (3, short), (4, None), (5, "..."), (2, other)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, bench = (common.table(spark, str(tmp_path), t) for t in ("documents", "benchmark"))
+    left = corpus_pipeline.without_benchmark(spark, docs, str(tmp_path)) if block > 1 else decontaminate.clean(docs, bench, "windows", block_windows=block)
+    assert left.columns == docs.columns
+    # of the short item 5 words in 205 are under 1/20, 5 in 55 are not
+    assert sorted((tuple(r) for r in left.collect()), key=str) == sorted((r for r in rows if r[0] in (2, 4, 6, 7, 8)), key=str)
+    assert not any(windows_of(r.text) & (windows_of(item) | windows_of(other)) for r in left.collect())
+    assert decontaminate.clean(docs.limit(0), bench, "windows", block_windows=block).count() == 0
+    assert decontaminate.clean(docs, bench.limit(0), "windows", block_windows=block).count() == len(rows)
+
+
+def test_cutting_does_not_depend_on_the_size_of_blocks(spark):
+    a, b, c = (plain_words(20, k).split() for k in (21, 22, 23))
+    over = [*a[:15], *a[15:], *b[:10]]  # the items below overlap in it
+    bench = spark.createDataFrame([("x", " ".join(a)), ("y", " ".join([*a[10:], *b[:10]])), ("z", " ".join(c)), (None, " ".join(b)), ("null", " ".join(b))], "item_id string, text string")
+    rows = [(1, plain_words(30, 24) + " " + " ".join(over) + " " + plain_words(30, 25)), (2, " ".join([*c[:10], *a, *c[10:]]) + " end"), (3, plain_words(30, 26)), (4, " ".join([*b, *a])), (4, " ".join([*b, *a])), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((str(tuple(r)) for r in decontaminate.clean(docs, bench, "spans", block_windows=k).collect())) for k in (decontaminate.BLOCK_WINDOWS, 25, 1)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    assert str((1, plain_words(30, 24) + " " + plain_words(30, 25))) in got[0] and str((2, "end")) in got[0] and str((4, "")) in got[0]
+    same = lambda x: sorted((r.doc_id, r.n_words, sorted(map(tuple, r.hits)), tuple(r["items"])) for r in x)
+    one, many = (same(decontaminate.contamination(docs, bench, ["doc_id"], block_windows=k).collect()) for k in (decontaminate.BLOCK_WINDOWS, 1))
+    assert one == many and any(x[3] == (None, "null") or x[3][:2] == ("null", None) for x in one)
+
+
 def test_ids_are_the_tokenizers_in_any_script():
     c = tokenfile.WordCache(public_tokenizers.path("word_bpe_49k.json"), "<u2")
     rnd = random.Random(3)
