@@ -23,8 +23,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than one word in twenty lies in a passage of the benchmark, without those words."""
-    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"), remove="both")
+    """Documents that hold no 13 consecutive words of a benchmark item, nor, of shorter items, one word in twenty."""
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"), remove="windows")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
