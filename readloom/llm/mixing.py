@@ -1,38 +1,45 @@
 """Mixing sources to target weights by min-cost flow (method 3).
 
-A document may belong to several sources; documents with the same set of sources form a
+Sources overlap where several hold a text. Texts with the same set of sources form a
 pattern. Words flow from each pattern to its sources: the first copy of a pattern's words
-costs 0 a word, the k-th costs k-1 (convex repetition costs), up to `MAX_COPIES`; each
-source takes its quota. The flow gives each pattern a number of words; its documents are
-then taken in a seeded order: all of them as often as fits, and once more the first ones
-until the words are reached. The last of these is taken in part.
-
-Only sums by pattern, and one boundary row a pattern, reach the driver; there may be
-`MAX_PATTERNS` patterns, beyond which mix() raises. The boundary is found by sums over
-`BINS` ranges of the seeded hash and then exactly within one range, so no task holds all
-documents of a hot source. Whether a document is taken then follows from its own row and
-its pattern's boundary alone.
+costs 0 a word, the k-th costs ceil(log2 k) (convex repetition costs), whichever sources
+take them; a source takes its quota, and from its documents of a pattern at most
+`MAX_COPIES` times their words. So a source whose texts others hold too leaves these to
+them where it can fill its quota otherwise.
+
+The flow gives each source a number of words of each pattern. Of these documents all are
+taken as often as fits, and once more the first ones of a seeded order until the words are
+reached; the last is taken in part. First copies come before other copies of a text within
+a source, and a pattern's sources start at different places of one circular order of its
+texts, so that they take different ones.
+
+What reaches the driver is a row for each set of sources that some text has, and source
+in it, and one boundary row each. The flow is solved in time near linear in them
+(route()). The boundary is found by sums over `BINS` ranges of the seeded hash and then
+exactly within one range, so no task holds all documents of a hot source. Texts are told
+apart by 128 bits of hash; counts are added up before texts are grouped, and only texts with
+several rows are joined back, in a join of stored tables whose large keys Spark splits.
 
 Edge cases: a null source is a source of its own, last in order. Null texts and those
-without words have size 0 and nothing is taken. Equal rows (hash, doc_id, size) at a
-boundary share what is left in equal parts. An empty table gives no rows. A null doc_id
-orders as the least one.
+without words have size 0 and nothing is taken. Equal rows (text, source, doc_id) at a
+boundary share what is left in equal parts, so that up to a word less than their number may
+be missing from the target. An empty table gives no rows. A null doc_id orders as the least
+one.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import defaultdict
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 
-WEIGHTS, TOTAL, MAX_COPIES, BINS, SEED, MAX_PATTERNS = (3, 1, 2), 1.5, 2, 4096, 7, 1_000_000
-LEAST = -(1 << 63)
+WEIGHTS, TOTAL, MAX_COPIES, BINS, SEED = (3, 1, 2), 1.5, 2, 4096, 7
+LEAST, CIRCLE_BITS = -(1 << 63), 62
+#: Rows of a table that is broadcast (a row has the sources of one text, or a boundary).
+BROADCAST_ROWS = 10_000
 
 
 def targets(sizes: dict, total: float = TOTAL, weights: tuple = WEIGHTS, cap: int = MAX_COPIES) -> dict:
@@ -56,143 +63,216 @@ def targets(sizes: dict, total: float = TOTAL, weights: tuple = WEIGHTS, cap: in
     return out
 
 
-def min_cost_flow(n: int, edges: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
-    """Flow on each edge (from, to, capacity, cost) of a largest flow of least cost.
+class Flow:
+    """A largest flow from patterns to sources, kept while the patterns' supplies grow (Dinic's levels and current arcs).
 
-    Successive shortest paths; integer capacities.
+    Patterns and sources are numbered; edge e goes from pattern ep[e] to source es[e], with flow ef[e] of at most em[e].
     """
-    to, cap, cost, out = [], [], [], [[] for _ in range(n)]
-    for a, b, c, w in edges:
-        out[a].append(len(to))
-        out[b].append(len(to) + 1)
-        to += [b, a]
-        cap += [c, 0]
-        cost += [w, -w]
-    while True:
-        dist, via, waiting, queued = [None] * n, [-1] * n, deque([source]), {source}
-        dist[source] = 0
-        while waiting:
-            a = waiting.popleft()
-            queued.discard(a)
-            for e in out[a]:
-                if cap[e] and (dist[to[e]] is None or dist[a] + cost[e] < dist[to[e]]):
-                    dist[to[e]], via[to[e]] = dist[a] + cost[e], e
-                    if to[e] not in queued:
-                        queued.add(to[e])
-                        waiting.append(to[e])
-        if dist[sink] is None:
-            return cap[1::2]
-        path, at = [], sink
-        while at != source:
-            path.append(via[at])
-            at = to[via[at] ^ 1]
-        push = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= push
-            cap[e ^ 1] += push
-
-
-def route(capacity: dict[str, int], members: dict[str, list], quota: dict, copies: int = MAX_COPIES) -> dict[tuple, int]:
-    """(pattern, source) -> words. Patterns that share no source are solved apart."""
-    of = defaultdict(list)
-    for p, ms in members.items():
-        for s in ms:
-            of[s].append(p)
-    flow, seen = {}, set()
-    for first in sorted(members):
-        if first in seen:
-            continue
-        group, sources, stack = [], [], [first]
-        seen.add(first)
-        while stack:
-            group.append(p := stack.pop())
-            for s in members[p]:
-                if s not in sources:
-                    sources.append(s)
-                    fresh = [q for q in of[s] if q not in seen]
-                    seen.update(fresh)
-                    stack += fresh
-        at = {("p", p): i for i, p in enumerate(group, 2)} | {("s", s): i for i, s in enumerate(sources, 2 + len(group))}
-        edges = [(0, at["p", p], capacity[p], k) for p in group for k in range(copies)]
-        middle = [(p, s) for p in group for s in members[p]]
-        edges += [(at["p", p], at["s", s], copies * capacity[p], 0) for p, s in middle]
-        edges += [(at["s", s], 1, quota[s], 0) for s in sources]
-        got = min_cost_flow(len(at) + 2, edges, 0, 1)
-        flow |= dict(zip(middle, got[len(group) * copies :], strict=False))
-    return flow
-
-
-def words_counted(docs: DataFrame, columns: dict[str, F.Column]) -> DataFrame:
-    """The given columns, and size: the words of text."""
-    of = docs.select(*[c.alias(k) for k, c in columns.items()], F.col("text").cast("string").alias("__text"))
-    schema = StructType([*of.schema.fields[:-1], StructField("size", LongType())])
-
-    def task(batches):
-        for b in batches:
-            n = pc.fill_null(pc.count_substring_regex(b.column(b.num_columns - 1), r"[^\x20\x09-\x0D]+"), 0)
-            yield pa.record_batch([*b.columns[:-1], n.cast(pa.int64())], names=schema.names)
-
-    return of.mapInArrow(task, schema)
-
-
-def seeded(seed: int) -> F.Column:
-    """A row's place in the order: hash, then doc_id, then size."""
-    return F.struct(F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.coalesce("doc_id", F.lit(LEAST)).alias("i"), F.col("size").alias("z"))
-
-
-def plan(sized: DataFrame, seed: int = SEED, **options) -> DataFrame:
-    """One row a pattern: full (times each of its documents is taken) and the boundary of the rest.
-
-    sized: doc_id, members (sources), size; already stored, as it is read several times.
+
+    def __init__(self, edges: list[tuple[int, int, int]], patterns: int, need: list[int]) -> None:
+        self.ep, self.es, self.em = (list(x) for x in zip(*edges, strict=True)) if edges else ([], [], [])
+        self.ef = [0] * len(edges)
+        self.need, self.supply = need, [0] * patterns
+        self.of_pattern: list[list[int]] = [[] for _ in range(patterns)]
+        self.of_source: list[list[int]] = [[] for _ in need]
+        for e, (p, s, _) in enumerate(edges):
+            self.of_pattern[p].append(e)
+            self.of_source[s].append(e)
+
+    def levels(self) -> bool:
+        """Distances to a source in need, up to the nearest pattern with supply; whether there is one."""
+        self.lp, self.ls = [0] * len(self.supply), [0] * len(self.need)
+        front = [s for s, n in enumerate(self.need) if n]
+        for s in front:
+            self.ls[s] = 1
+        depth, met = 1, False
+        while front and not met:
+            patterns = []
+            for s in front:
+                for e in self.of_source[s]:
+                    p = self.ep[e]
+                    if not self.lp[p] and self.ef[e] < self.em[e]:
+                        self.lp[p] = depth + 1
+                        patterns.append(p)
+                        met = met or self.supply[p] > 0
+            front = []
+            for p in patterns:
+                for e in self.of_pattern[p]:
+                    s = self.es[e]
+                    if not self.ls[s] and self.ef[e]:
+                        self.ls[s] = depth + 2
+                        front.append(s)
+            depth += 2
+        return met
+
+    def block(self) -> None:
+        """A blocking flow along the levels."""
+        at_p, at_s = [0] * len(self.supply), [0] * len(self.need)
+        ep, es, ef, em, lp, ls = self.ep, self.es, self.ef, self.em, self.lp, self.ls
+        for start, have in enumerate(self.supply):
+            path: list[int] = []  # edges to a source and back to a pattern, in turn
+            while have and lp[start]:
+                if len(path) % 2 == 0:
+                    p = ep[path[-1]] if path else start
+                    own, k = self.of_pattern[p], at_p[p]
+                    while k < len(own) and not (ef[own[k]] < em[own[k]] and ls[es[own[k]]] == lp[p] - 1):
+                        k += 1
+                    at_p[p] = k
+                    if k < len(own):
+                        path.append(own[k])
+                    elif path:
+                        at_s[es[path.pop()]] += 1
+                    else:
+                        break
+                elif self.need[s := es[path[-1]]]:
+                    have = self.push(path, have)
+                    path = []
+                else:
+                    own, k = self.of_source[s], at_s[s]
+                    while k < len(own) and not (ef[own[k]] and 0 < lp[ep[own[k]]] == ls[s] - 1):
+                        k += 1
+                    at_s[s] = k
+                    if k < len(own):
+                        path.append(own[k])
+                    else:
+                        at_p[ep[path.pop()]] += 1
+            self.supply[start] = have
+
+    def push(self, path: list[int], have: int) -> int:
+        """Send what the path takes; what is left of the start's supply."""
+        end = self.es[path[-1]]
+        n = min(have, self.need[end], *(self.em[e] - self.ef[e] if k % 2 == 0 else self.ef[e] for k, e in enumerate(path)))
+        for k, e in enumerate(path):
+            self.ef[e] += n if k % 2 == 0 else -n
+        self.need[end] -= n
+        return have - n
+
+    def run(self) -> None:
+        while self.levels():
+            self.block()
+
+
+def route(capacity: dict, members: dict[str, list], quota: dict, copies: int = MAX_COPIES, most: dict | None = None) -> dict[tuple, int]:
+    """(pattern, source) -> words of a largest flow of least cost.
+
+    capacity: words of one copy of a pattern. most: (pattern, source) -> most words on that
+    edge; without it, no pattern gives more than `copies` copies in all.
+
+    A path of least cost from the patterns to a source in need uses one step of one pattern's
+    costs, as a path visits the start once. So successive shortest paths are a largest flow with
+    each pattern's first copy, then one with its second as well, then with 4, 8, ...: a flow's
+    patterns never get less again.
+    """
+    patterns, sources = sorted(members), sorted({s for ms in members.values() for s in ms}, key=lambda s: (s is None, s or ""))
+    number = {s: i for i, s in enumerate(sources)}
+    edges = [(i, number[s], copies * capacity[p] if most is None else most[p, s]) for i, p in enumerate(patterns) for s in members[p]]
+    limit = [copies * capacity[p] if most is None else sum(most[p, s] for s in members[p]) for p in patterns]
+    flow = Flow(edges, len(patterns), [quota[s] for s in sources])
+    given, times = [0] * len(patterns), 1
+    while any(flow.need) and any(g < m for g, m in zip(given, limit, strict=True)):
+        for i, p in enumerate(patterns):
+            now = min(limit[i], times * capacity[p])
+            flow.supply[i] += now - given[i]
+            given[i] = now
+        flow.run()
+        times *= 2
+    return {(patterns[p], sources[s]): n for p, s, n in zip(flow.ep, flow.es, flow.ef, strict=True)}
+
+
+def sized(docs: DataFrame, columns: dict[str, F.Column]) -> DataFrame:
+    """The given columns, and doc_id, source, size (words of text), k1 and k2 (its hashes)."""
+    text = F.col("text").cast("string")
+    size = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
+    return docs.select(*[c.alias(k) for k, c in columns.items()], F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
+
+
+def shared_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables of texts with words: patterns (p, words of one copy), and those with several rows: k1, k2, who."""
+    own = rows.where("size > 0").groupBy("k1", "k2", "source").agg(F.first("size").alias("size"), F.count("*").alias("n"), F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("first"))
+    who = F.array_sort(F.collect_list(F.struct("source", "first")))  # a source each
+    texts = common.keep(own.groupBy("k1", "k2").agg(F.first("size").alias("size"), F.sum("n").alias("n"), who.alias("who")), "texts")
+    words = texts.groupBy(F.to_json(F.transform("who", lambda w: w["source"])).alias("p")).agg(F.sum("size").alias("words"))
+    return words, texts.where("n > 1").select("k1", "k2", "who")
+
+
+def placed(rows: DataFrame, groups: DataFrame, seed: int) -> DataFrame:
+    """rows, with p (their text's sources), copy (1: not the first of its text in its source) and h (place on the circle).
+
+    groups, if few, are broadcast.
+    """
+    of = groups.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "who")
+    of = F.broadcast(of) if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else of
+    met = rows.join(of, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")) & (F.col("size") > 0), "left")
+    sources = F.coalesce(F.transform("who", lambda w: w["source"]), F.array("source"))
+    first = F.filter("who", lambda w: w["source"].eqNullSafe(F.col("source")))[0]["first"]
+    copy = F.coalesce((first != F.coalesce("doc_id", F.lit(LEAST))).cast("long"), F.lit(0).cast("long"))
+    circle = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "k1", "k2"), 64 - CIRCLE_BITS)
+    return met.withColumns({"p": F.to_json(sources), "copy": copy, "h": circle}).drop("k1", "k2", "__k1", "__k2", "who")
+
+
+def place() -> F.Column:
+    """A row's place in the order of its pattern and source, which starts at `start` on the circle."""
+    turned = F.pmod(F.col("h") - F.col("start"), F.lit(1 << CIRCLE_BITS))
+    return F.struct("copy", turned.alias("h"), F.coalesce("doc_id", F.lit(LEAST)).alias("i"), F.col("size").alias("z"))
+
+
+def plan(spread: DataFrame, words: DataFrame, **options) -> DataFrame:
+    """One row a pattern and source in it: full (times each of its documents is taken) and the boundary of the rest.
+
+    spread: placed(), stored, as it is read several times. words: the words of one copy of each pattern.
     """
-    spark = sized.sparkSession
-    rows = sized.withColumn("p", F.to_json(F.struct("members"))).withColumn("at", seeded(seed))
-    sums = rows.groupBy("p").agg(F.first("members").alias("members"), F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(sums) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} patterns of sources")
-    members = {r.p: list(dict.fromkeys(r.members)) for r in sums}
-    capacity = {r.p: r.size for r in sums}
+    spark, cap = spread.sparkSession, options.get("cap", MAX_COPIES)
+    capacity = {r.p: r.words for r in words.collect()}
+    held: dict[tuple, int] = {}
     sizes: dict = defaultdict(int)
+    for r in spread.groupBy("p", "source").agg(F.sum("size").alias("size")).collect():  # a row a pattern and source
+        sizes[r.source] += r["size"]
+        if r.p in capacity and r["size"]:
+            held[r.p, r.source] = r["size"]
+    members: dict[str, list] = defaultdict(list)
+    for p, s in sorted(held, key=lambda k: (k[0], k[1] is None, k[1] or "")):
+        members[p].append(s)
+    goal = targets(sizes, **options)
+    flow = route(capacity, members, {s: round(t) for s, t in goal.items()}, cap, {k: cap * n for k, n in held.items()})
+    full, rest, start = {}, {}, {}
     for p, ms in members.items():
+        before = 0
         for s in ms:
-            sizes[s] += capacity[p]
-    goal = targets(sizes, **options)
-    flow = route(capacity, members, {s: round(t) for s, t in goal.items()}, options.get("cap", MAX_COPIES))
-    taken: dict = defaultdict(int)
-    for (p, _), n in flow.items():
-        taken[p] += n
-    full = {p: taken[p] // capacity[p] if capacity[p] else 0 for p in members}
-    rest = {p: taken[p] - full[p] * capacity[p] for p in members}
-
-    some = [(p, n) for p, n in rest.items() if n]
+            n = flow[p, s]
+            full[p, s], rest[p, s] = divmod(n, held[p, s])
+            start[p, s] = (before << CIRCLE_BITS) // capacity[p] % (1 << CIRCLE_BITS)
+            before += n
+
     bounds = {}
+    some = [(p, s, start[p, s], n) for (p, s), n in rest.items() if n]
     if some:
-        wanted = small(spark, some, "p string, rest long")
-        binned = rows.join(wanted, "p").withColumn("bin", F.shiftright(F.col("at.h"), 64 - BINS.bit_length() + 1))
-        order = Window.partitionBy("p").orderBy("bin")
-        by_bin = binned.groupBy("p", "rest", "bin").agg(F.sum("size").alias("n")).withColumn("to", F.sum("n").over(order))
-        edge = [(r.p, r.bin, r.need) for r in by_bin.where("to >= rest and to - n < rest").select("p", "bin", (F.col("rest") - F.col("to") + F.col("n")).alias("need")).collect()]
-        near = binned.drop("rest").join(small(spark, edge, "p string, bin long, need long"), ["p", "bin"])
-        order = Window.partitionBy("p").orderBy("at")
-        exact = near.groupBy("p", "need", "at").agg(F.count("*").alias("rows")).withColumn("n", F.col("rows") * F.col("at.z")).withColumn("to", F.sum("n").over(order))
-        for r in exact.where("to >= need and to - n < need").select("p", "at", "rows", (F.col("need") - F.col("to") + F.col("n")).alias("left")).collect():
-            bounds[r.p] = (tuple(r["at"]), r.left // r.rows)
-    out = [(p, full[p], *bounds.get(p, (None, 0)), [goal[s] for s in members[p]], [sizes[s] for s in members[p]]) for p in members]
-    return small(spark, out, "p string, full long, edge struct<h:long,i:long,z:long>, part long, goals array<double>, sizes array<long>")
+        own = (F.col("p") == F.col("__p")) & F.col("source").eqNullSafe(F.col("__s"))
+        binned = spread.join(small(spark, some, "__p string, __s string, start long, rest long"), own).where("size > 0").withColumn("at", place())
+        binned = binned.withColumn("bin", F.col("copy") * BINS + F.shiftright(F.col("at.h"), CIRCLE_BITS - BINS.bit_length() + 1))
+        by_bin = binned.groupBy("p", "source", "rest", "bin").agg(F.sum("size").alias("n")).withColumn("to", F.sum("n").over(Window.partitionBy("p", "source").orderBy("bin")))
+        edge = [(r.p, r.source, r.bin, r.need) for r in by_bin.where("to >= rest and to - n < rest").select("p", "source", "bin", (F.col("rest") - F.col("to") + F.col("n")).alias("need")).collect()]
+        near = binned.drop("rest", "__p", "__s").join(small(spark, edge, "__p string, __s string, __bin long, need long"), own & (F.col("bin") == F.col("__bin")))
+        exact = near.groupBy("p", "source", "need", "at").agg(F.count("*").alias("rows")).withColumn("n", F.col("rows") * F.col("at.z")).withColumn("to", F.sum("n").over(Window.partitionBy("p", "source").orderBy("at")))
+        for r in exact.where("to >= need and to - n < need").select("p", "source", "at", "rows", (F.col("need") - F.col("to") + F.col("n")).alias("left")).collect():
+            bounds[r.p, r.source] = (tuple(r["at"]), r.left // r.rows)
+    out = [(p, s, start.get((p, s), 0), full.get((p, s), 0), *bounds.get((p, s), (None, 0))) for p, s in held]
+    planned = small(spark, out, "p string, s string, start long, full long, edge struct<copy:long,h:long,i:long,z:long>, part long")
+    return planned, small(spark, [(s, n, goal[s]) for s, n in sizes.items()], "s string, source_size long, target double")
 
 
 def small(spark, rows: list, schema: str) -> DataFrame:
-    """A table of a row a pattern; broadcast while it is known to be small."""
+    """A table of a row a pattern and source; broadcast while it is known to be small."""
     df = spark.createDataFrame(rows, schema)
-    return F.broadcast(df) if len(rows) <= 10_000 else df
+    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
 
 
-def taken(sized: DataFrame, planned: DataFrame, seed: int = SEED) -> DataFrame:
-    """sized and taken: the words of each row that the mix takes."""
-    at = seeded(seed)
-    rows = sized.withColumn("p", F.to_json(F.struct("members"))).join(planned, "p", "left")
-    once = F.when(F.col("edge").isNull(), 0).when(at < F.col("edge"), F.col("size")).when(at == F.col("edge"), F.col("part")).otherwise(0)
-    return rows.withColumn("taken", F.col("full") * F.col("size") + once).drop("p", "full", "edge", "part")
+def taken(spread: DataFrame, planned: DataFrame) -> DataFrame:
+    """spread and taken: the words of each row that the mix takes."""
+    of = planned.select(F.col("p").alias("__p"), F.col("s").alias("__s"), "start", "full", "edge", "part")
+    rows = spread.join(of, (F.col("p") == F.col("__p")) & F.col("source").eqNullSafe(F.col("__s")), "left")
+    at = place()
+    once = F.when(F.col("edge").isNull() | (F.col("size") == 0), 0).when(at < F.col("edge"), F.col("size")).when(at == F.col("edge"), F.col("part")).otherwise(0)
+    return rows.withColumn("taken", F.coalesce(F.col("full") * F.col("size"), F.lit(0)) + once).drop("p", "h", "copy", "__p", "__s", "start", "full", "edge", "part")
 
 
 def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
@@ -200,17 +280,20 @@ def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
 
     A source is in "source". Of the document at a boundary the copy stays if half of it or more is taken.
     """
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    sized = common.keep(words_counted(docs, {"doc_id": F.col("doc_id").cast("long"), "members": F.array(F.col("source").cast("string"))}), "sizes")
-    planned = plan(sized, seed, **options)
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array(F.col("source").cast("string")).alias("members"), F.struct(*cols).alias("row"), size.alias("size"))
+    light = common.keep(sized(docs, {}), "sizes")
+    words, groups = shared_texts(light)
+    planned, _ = plan(common.keep(placed(light, groups, seed), "places"), words, **options)
+    whole = sized(docs, {"row": F.struct(*[F.col(f"`{c}`") for c in docs.columns])})
     copies = F.when(F.col("size") == 0, 0).otherwise(F.round(F.col("taken") / F.col("size")).cast("int"))
-    out = taken(whole, planned, seed).where(copies > 0).withColumn("__k", F.explode(F.sequence(F.lit(1), copies)))
+    out = taken(placed(whole, groups, seed), planned).where(copies > 0).withColumn("__k", F.explode(F.sequence(F.lit(1), copies)))
     return out.select("row.*")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    sized = common.keep(words_counted(docs, {"doc_id": F.col("doc_id"), "members": F.array("source")}), "sizes")
-    return taken(sized, plan(sized)).select("doc_id", "size", F.col("sizes")[0].alias("source_size"), F.col("goals")[0].alias("target"), "taken")
+    light = common.keep(sized(docs, {"__id": F.col("doc_id")}), "sizes")
+    words, groups = shared_texts(light)
+    spread = common.keep(placed(light, groups, SEED), "places")
+    planned, sources = plan(spread, words)
+    out = taken(spread, planned).join(sources, F.col("source").eqNullSafe(F.col("s")))
+    return out.select(F.col("__id").alias("doc_id"), "size", "source_size", "target", "taken")

@@ -9,7 +9,7 @@ pytest.importorskip("public_tokenizers")
 import public_tokenizers  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from readloom.llm import common, decontaminate, hilbert, jaccard_join, langid, pii, secret_scan, tokenfile  # noqa: E402
+from readloom.llm import common, decontaminate, hilbert, jaccard_join, langid, mixing, pii, secret_scan, tokenfile  # noqa: E402
 
 
 def plain_words(n, seed):
@@ -113,6 +113,97 @@ def test_cutting_does_not_depend_on_the_size_of_blocks(spark):
     assert one == many and any(x[3] == (None, "null") or x[3][:2] == ("null", None) for x in one)
 
 
+def test_flow_with_more_copies_is_largest_and_cheapest():
+    rnd = random.Random(2)
+
+    def cost(n, one):
+        total, step, had = 0, 0, 0
+        while had < n:  # the first copy costs 0 a word, the next 1, the next two 2, the next four 3
+            upto = one * 2**step if one else n
+            total += step * (min(n, upto) - had)
+            had, step = min(n, upto), step + 1
+        return total
+
+    for _ in range(40):
+        capacity = {"x": rnd.randint(1, 3), "y": rnd.randint(1, 2)}
+        most = {("x", "a"): rnd.randint(0, 6), ("x", "b"): rnd.randint(0, 5), ("y", "b"): rnd.randint(0, 8)}
+        quota = {"a": rnd.randint(0, 6), "b": rnd.randint(0, 8)}
+        flow = mixing.route(capacity, {"x": ["a", "b"], "y": ["b"]}, quota, 2, most)
+        key = lambda xa, xb, yb: (-(xa + xb + yb), cost(xa + xb, capacity["x"]) + cost(yb, capacity["y"]))  # noqa: B023, E731
+        best = min(key(xa, xb, yb) for xa in range(min(most["x", "a"], quota["a"]) + 1) for xb in range(most["x", "b"] + 1) for yb in range(most["y", "b"] + 1) if xb + yb <= quota["b"])
+        assert key(flow["x", "a"], flow["x", "b"], flow["y", "b"]) == best and all(0 <= n <= most[k] for k, n in flow.items())
+
+
+def test_flow_of_many_patterns():
+    rnd, sources, members = random.Random(1), [f"s{i}" for i in range(60)], {}
+    while len(members) < 100_000:
+        ms = sorted(rnd.sample(sources, rnd.choice((1, 2, 3, 4))))
+        members["|".join(ms)] = ms
+    capacity = {p: rnd.randint(1, 1000) for p in members}
+    held = {(p, s): capacity[p] * rnd.randint(1, 3) for p, ms in members.items() for s in ms}
+    sizes = {s: 0 for s in sources}
+    for (_, s), n in held.items():
+        sizes[s] += n
+    goal = {s: round(t) for s, t in mixing.targets(sizes).items()}
+    got = {s: 0 for s in sources}
+    for (_, s), n in mixing.route(capacity, members, goal, 2, {k: 2 * n for k, n in held.items()}).items():
+        got[s] += n
+    assert got == goal
+
+
+def mixed_rows():
+    rnd, rows = random.Random(11), []
+    text = lambda i: f"t{i} " + plain_words(rnd.randint(5, 60), 1000 + i)
+    shared, own = [text(i) for i in range(60)], [text(100 + i) for i in range(60)]
+    for i, t in enumerate(shared):
+        rows += [(i, t, "a"), (1000 + i, t, "b")]
+    rows += [(2000 + i, t, "a") for i, t in enumerate(own)]
+    rows += [(3000 + i, shared[0], "a") for i in range(30)] + [(4000, None, "a"), (4001, "  ", None), (4002, "one two", None), (None, text(300), "a")]
+    rows += [(5000 + i, text(400 + i), "c") for i in range(80)]
+    return rows
+
+
+def test_overlap_of_sources_decides_what_is_taken(spark, tmp_path):
+    rows = mixed_rows()
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op3(spark, str(tmp_path)).collect()
+    of, text = {r[0]: r[2] for r in rows}, {r[0]: r[1] for r in rows}
+    shared = {r[1] for r in rows if r[2] == "b"}
+    words, sizes, shares = {}, {}, {}
+    for r in got:
+        s = of[r.doc_id]
+        assert r["size"] == len((text[r.doc_id] or "").split()) and 0 <= r.taken <= 2 * r["size"]
+        sizes[s] = sizes.get(s, 0) + r["size"]
+        words[s] = words.get(s, 0) + r.taken
+        k = (s, text[r.doc_id] in shared)
+        shares[k] = shares.get(k, 0) + r.taken
+    goal = mixing.targets(sizes)
+    assert len(got) == len(rows) and all(abs(words[s] - goal[s]) <= 1 for s in sizes)
+    assert all((r.source_size, r.target) == (sizes[of[r.doc_id]], goal[of[r.doc_id]]) for r in got)
+    # b has shared texts only; a, which need not repeat them, takes its own first: a plain share would be near half
+    once = sum(len(t.split()) for t in shared)
+    own = sum(len(r[1].split()) for r in rows if r[2] == "a" and r[1] and r[1] not in shared)
+    assert shares["a", False] >= min(goal["a"], own) - 1
+    assert shares["a", True] + shares["b", True] <= max(once, goal["b"], goal["a"] + goal["b"] - 2 * own) + 1
+
+
+def test_sources_of_a_pattern_take_different_texts(spark):
+    texts = [plain_words(10, 500 + i) for i in range(400)]
+    rows = [(1000 * k + i, t, s) for k, s in enumerate("abc") for i, t in enumerate(texts)] + [(9000 + i, plain_words(10, 2000 + i), "d") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = [r for r in mixing.mix(docs, total=0.2, weights=(1,)).collect()]
+    taken = [r.text for r in left if r.source != "d"]
+    assert 230 <= len(taken) <= 250 and len(set(taken)) >= 0.95 * len(taken)  # chance would repeat a fifth of them
+
+
+def test_mix_with_clashing_columns(spark):
+    rows = [(i, plain_words(10, i), "a", 1, "p", 2, 3.0, "w", 5) for i in range(20)] + [(None, None, None, None, None, None, None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, p string, h int, taken double, who string, k1 int")
+    left = mixing.mix(docs)
+    assert left.columns == docs.columns and 25 <= left.count() <= 35
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
 def test_ids_are_the_tokenizers_in_any_script():
     c = tokenfile.WordCache(public_tokenizers.path("word_bpe_49k.json"), "<u2")
     rnd = random.Random(3)
