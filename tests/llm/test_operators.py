@@ -311,7 +311,8 @@ def test_op5_edges(spark, docs):
 # ---- 6
 
 
-def passages(rows):
+def passages(rows, floor=0):
+    """Every run of repeated units, with `floor` words or more in units of four."""
     seen, out = {}, []
     every = [(i if i is not None else 1 << 63, t, linededup.split(t)) for i, t, *_ in rows if t]
     for i, _, units in every:
@@ -323,23 +324,24 @@ def passages(rows):
         for k, (a, b, w) in [*enumerate(units), (None, (0, 0, ()))]:
             key = " ".join(w)
             if k is not None and (i > seen[key] or key in own):
-                run.append((a, b, len(w)))
+                run.append((a, b, len(w), seen[key]))
             else:
-                if sum(n for *_, n in run if n >= linededup.UNIT_WORDS) >= linededup.MIN_WORDS:
-                    out.append((None if i == 1 << 63 else i, run[0][0], run[-1][1], len(run), sum(n for *_, n in run)))
+                if run and sum(n for *_, n, _ in run if n >= linededup.UNIT_WORDS) >= floor:
+                    out.append((None if i == 1 << 63 else i, t, run[0][0], run[-1][1], len(run), sum(n for *_, n, _ in run), min(f for *_, f in run)))
                 run = []
             own.add(key)
     return sorted(out, key=str)
 
 
-def test_op6(spark, tables, docs):
+@pytest.mark.parametrize("floor", [0, 25])
+def test_op6(spark, tables, docs, floor):
     rows = [r for r in ROWS if r[0] != 10]
-    got = linededup.repeats(docs.where("doc_id is null or doc_id <> 10"))
+    got = linededup.repeats(docs.where("doc_id is null or doc_id <> 10"), floor)
     mine = sorted(((r.doc_id, r.start, r.end, r.n_units, r.n_words) for r in got.collect()), key=str)
-    assert mine == passages(rows) and {m[0] for m in mine} >= {2, 5}
-    where = {r.doc_id: r for r in got.collect()}
-    assert where[5].kept_in == [4]
-    left = linededup.clean(docs.where("doc_id in (4, 5, 6)"))
+    want = passages(rows, floor)
+    assert mine == sorted(((p[0], *p[2:6]) for p in want), key=str) and {m[0] for m in mine} >= {2, 5}
+    assert [4] in [r.kept_in for r in got.collect() if r.doc_id == 5]
+    left = linededup.clean(docs.where("doc_id in (4, 5, 6)"), 25)
     assert left.columns == [*docs.columns, "removed"]
     by = {r.doc_id: r for r in left.collect()}
     text = dict(r[:2] for r in ROWS)
@@ -348,6 +350,25 @@ def test_op6(spark, tables, docs):
     assert by[5].text == text[5][:a] + text[5][b:] and "Another start." in by[5].text
 
 
+def test_op6_of_documents(spark, tmp_path):
+    ten, tail = words(10, random.Random(31)).replace(".", "") + ".", words(30, random.Random(32))
+    rows = [(1, "Once. " + ten, "x"), (2, "Yes.\n" + ten + " Yes.", "y"), (3, None, "x"), (3, "", "x"), (None, ten + " Once.", "z"), (None, tail + ".\n" + ten, "z"), (5, tail + ".", "q"), (5, tail + ".", "q")]
+    spark.createDataFrame(rows, "doc_id long, text string, removed string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = linededup.op6(spark, str(tmp_path)).collect()
+    plain = []
+    found = passages(rows)
+    for i, t, _ in rows:
+        units, mine = linededup.split(t or ""), sorted(p for p in found if p[:2] == (i, t))
+        spans = ",".join(f"{a}:{b}:{'null' if f == 1 << 63 else f}" for _, _, a, b, _, _, f in sorted(mine, key=lambda p: p[2]))
+        plain.append((i, len(units), sum(len(u[2]) for u in units), sum(p[4] for p in mine), sum(p[5] for p in mine), sum(p[5] for p in passages(rows, 25) if p[:2] == (i, t)), spans))
+    assert Counter(map(tuple, got)) == Counter(plain)
+    by = {(r.doc_id, r.n_words): r for r in got}
+    assert by[2, 12].n_repeats == 2 and by[2, 12].repeat_words == 11  # ten words alone are a repeat, and so is a word
+    left = linededup.clean(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    assert left.columns == ["doc_id", "text", "removed", "removed_"] and left.count() == len(rows)
+    assert {r.text for r in left.collect() if r.doc_id == 2} == {"Yes.\n"} and {r.removed for r in left.collect()} == {r[2] for r in rows}
+
+
 # ---- 7
 
 
