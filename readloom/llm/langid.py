@@ -6,17 +6,19 @@ that needs fewest pieces, times log2 of its training length, wins (ties: first b
 code point). Texts are lower-cased, and what is between letters counts as one space.
 
 Whole texts are parsed, in stretches of `STRETCH` characters which all start at the
-automaton's root. With the root's move folded in (no move: a piece ends, and the next
-starts with this character), the automaton is one table, so that numpy moves all
-stretches and languages of a batch by a character at once.
+automaton's root, and numpy moves all stretches and languages of a batch by a character
+at once. The automata's edges are in one hash table, so memory follows the training text
+and not the alphabet.
 
-Training takes a bounded sample (`docs_per_language`, `chars_per_document`,
-`chars_in_all`): the documents of least hash of doc_id. Only these texts are
-broadcast; each worker builds its automata once.
+Training takes a bounded number of rows, whole: for each language `docs_per_language`
+of those with least hash of doc_id, preferring texts of up to `LONGEST` characters. The
+automata are built on the driver and broadcast: 20 rows of 2,000 characters in four
+languages have about 0.3 million edges in 16 MB, a sum that grows with the texts of the
+sample alone. The limit is one of rows; texts are learned from as they are.
 
 Edge cases: null text or one without a letter is "und" with score 0. Rows without a
-label aren't learned from. No labels at all: everything is "und". A null doc_id is
-not held out. Repeated rows each get their row.
+label or without a letter aren't learned from. No labels at all: everything is "und". A
+null doc_id is not held out. Repeated rows each get their row, and may each be learned from.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import common
 
-DOCS_PER_LANGUAGE, CHARS_PER_DOCUMENT, CHARS_IN_ALL = 200, 1500, 200_000
+DOCS_PER_LANGUAGE, LONGEST, SPARE = 20, 20_000, 4
 STRETCH, SLICE_CHARS = 1024, 1_500_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -75,38 +77,83 @@ class SuffixAutomaton:
             last = cur
 
 
+def units(text: str) -> np.ndarray:
+    """Code points."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+class Edges:
+    """A hash table from keys to values in numpy: open addressing, linear probing, a third full at most."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, most: int) -> None:
+        """most: above all keys and values. 32-bit numbers serve while they reach."""
+        small = most < (1 << 32) - 1
+        self.kind = np.uint32 if small else np.uint64
+        self.multiplier = self.kind(0x9E3779B1 if small else 0x9E3779B97F4A7C15)
+        bits = max(4, (3 * len(keys)).bit_length())
+        self.shift, self.mask, self.none = self.kind((32 if small else 64) - bits), (1 << bits) - 1, self.kind((1 << (32 if small else 64)) - 1)
+        self.keys, self.values = np.full(1 << bits, self.none, self.kind), np.full(1 << bits, self.none, self.kind)
+        keys, values = keys.astype(self.kind), values.astype(self.kind)
+        slot = self.slots(keys)
+        while len(keys):
+            free = self.keys[slot] == self.none
+            self.keys[slot[free]] = keys[free]  # of several for one place the last stays
+            self.values[slot[free]] = values[free]
+            rest = self.keys[slot] != keys
+            keys, values, slot = keys[rest], values[rest], (slot[rest] + 1) & self.mask
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * self.multiplier) >> self.shift).astype(np.intp)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Values; `none` where there is no such key."""
+        slot = self.slots(keys)
+        there, out = self.keys[slot], self.values[slot]
+        on = np.flatnonzero(there != keys)
+        out[on] = self.none
+        on = on[there[on] != self.none]
+        slot, keys = slot[on], keys[on]
+        while len(on):
+            slot = (slot + 1) & self.mask
+            there = self.keys[slot]
+            same = there == keys
+            out[on[same]] = self.values[slot[same]]
+            more = np.flatnonzero(~same & (there != self.none))
+            on, slot, keys = on[more], slot[more], keys[more]
+        return out
+
+
 class Model:
-    """The languages' automata in one table of moves."""
+    """The languages' automata, their edges in one table."""
 
     def __init__(self, texts: dict[str, list[str]]) -> None:
         self.languages = sorted(texts)
-        share = CHARS_IN_ALL // max(1, len(texts))
-        joined = {k: "\n".join(v)[:share] for k, v in texts.items()}
-        letters = sorted(set("".join(joined.values())) - {"\n"})
+        joined = {k: "\n".join(texts[k]) for k in self.languages}
+        letters = sorted(set().union(*joined.values()) - {"\n"})
         #: 0: a character of no language; it ends a piece and starts none.
-        self.code = np.zeros(1 << 16, np.uint8 if len(letters) < 255 else np.uint16)
-        for i, c in enumerate(x for x in letters if ord(x) < 1 << 16):
-            self.code[ord(c)] = i + 1
-        self.width = width = int(self.code.max()) + 1
-        tables, self.roots, base = [], [], 0
-        for k in self.languages:
-            of = SuffixAutomaton([int(self.code[min(ord(c), 65535)]) if c != "\n" else -1 for c in joined[k]]).next
-            t = np.empty((len(of), width), np.int64)
-            root = np.full(width, base * width * 2 + 1, np.int64)  # an odd entry: a piece ends here
-            for c, to in of[0].items():
-                if c > 0:
-                    root[c] = (base + to) * width * 2 + 1
-            t[:] = root
-            for s, moves in enumerate(of):
-                for c, to in moves.items():
-                    if c > 0:
-                        t[s, c] = (base + to) * width * 2
-            tables.append(t)
-            self.roots.append(base * width)
+        self.code = np.zeros(0x110000, np.int32)
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = width = len(letters) + 1
+        #: the state after a piece that starts with a letter, by language; states are counted in steps of width
+        self.roots = np.zeros((len(self.languages), width), np.int64)
+        keys, values, base = [], [], 0
+        for i, k in enumerate(self.languages):
+            codes = self.code[units(joined[k])]
+            codes[units(joined[k]) == ord("\n")] = -1
+            of = SuffixAutomaton(codes.tolist()).next
+            n = sum(map(len, of))
+            state = np.repeat(np.arange(len(of)), np.fromiter(map(len, of), np.int64, len(of)))
+            letter = np.fromiter((c for moves in of for c in moves), np.int64, n)
+            to = (np.fromiter((t for moves in of for t in moves.values()), np.int64, n) + base) * width
+            real = letter > 0
+            keys.append(((state + base) * width + letter)[real])
+            values.append(to[real])
+            self.roots[i] = base * width
+            first = real & (state == 0)
+            self.roots[i, letter[first]] = to[first]
             base += len(of)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int64)
-        if base * width * 2 < 1 << 31:
-            self.table = self.table.astype(np.int32)
+        self.edges = Edges(np.concatenate(keys), np.concatenate(values), base * width) if keys else None
+        self.roots = self.roots.astype(self.edges.kind) if keys else self.roots
         self.bits = np.array([math.log2(max(2, len(joined[k]))) for k in self.languages])
 
     def pieces(self, texts: list[str]) -> np.ndarray:
@@ -117,20 +164,22 @@ class Model:
             return out
         sizes = np.array([min(STRETCH, len(texts[i]) - at) for i, at in spans])
         order = np.argsort(-sizes, kind="stable")
-        codes = np.zeros((int(sizes.max()), len(spans)), self.code.dtype)
+        codes = np.zeros((int(sizes.max()), len(spans)), self.edges.kind)
         for col, k in enumerate(order):
             i, at = spans[k]
-            units = np.frombuffer(texts[i][at : at + STRETCH].encode("utf-32-le", "surrogatepass"), "<u4")
-            units = np.minimum(units, len(self.code) - 1)  # U+FFFF is no character
-            codes[: len(units), col] = self.code[units]
+            x = self.code[units(texts[i][at : at + STRETCH])]
+            codes[: len(x), col] = x
         sizes = sizes[order]
         live = np.searchsorted(-sizes, -np.arange(len(codes)), side="left")  # columns longer than t
-        state = np.repeat(np.array(self.roots, self.table.dtype)[:, None], len(spans), 1)
-        count = np.ones((n, len(spans)), np.int32)
-        for t, k in enumerate(live):
-            now = self.table[state[:, :k] + codes[t, :k]]
-            count[:, :k] += now & 1
-            state[:, :k] = now >> 1
+        state, count = np.repeat(self.roots[:, :1], len(spans), 1), np.ones((n, len(spans)), np.int32)
+        for t, k in enumerate(live.tolist()):
+            c = codes[t, :k]
+            to = self.edges.find((state[:, :k] + c).ravel())
+            ends = np.flatnonzero(to == self.edges.none)
+            language, col = np.divmod(ends, k)
+            to[ends] = self.roots[language, c[col]]
+            count[language, col] += 1
+            state[:, :k] = to.reshape(n, k)
         np.add.at(out, np.array([spans[k][0] for k in order]), count.T)
         return out
 
@@ -159,45 +208,41 @@ class Model:
         return names, scores, bits
 
 
-MODELS: dict[str, Model] = {}
-
-
-def model(texts: dict[str, list[str]]) -> Model:
-    """One a worker."""
-    import hashlib
-
-    key = hashlib.sha256(repr(sorted(texts.items())).encode("utf-8", "surrogatepass")).hexdigest()
-    if key not in MODELS:
-        MODELS.clear()
-        MODELS[key] = Model(texts)
-    return MODELS[key]
-
-
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def training(labelled: DataFrame) -> dict[str, list[str]]:
-    """Texts by language, from columns doc_id, text, lang: a bounded sample.
+def training(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> dict[str, list[str]]:
+    """Texts by language, from columns doc_id, text, lang: whole texts of a bounded number of rows.
 
-    The window's limit is applied in each task before the exchange.
+    A count by language gives the hash below which SPARE times as many rows are expected as are
+    wanted; only these are ordered, so that no task gets rows from every other task at scale.
     """
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    chosen = labelled.where("lang is not null and text is not null").select("doc_id", "lang", F.substring("text", 1, CHARS_PER_DOCUMENT).alias("text")).withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= DOCS_PER_LANGUAGE)
-    out: dict[str, list[tuple]] = {}
-    for r in chosen.collect():  # bounded by the sample's parameters
-        out.setdefault(r.lang, []).append((r["__n"], plain(r.text)))
-    return {k: [t for _, t in sorted(v) if t] for k, v in out.items() if any(t for _, t in v)}
+    rows = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    place = F.shiftrightunsigned(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), 2)  # 62 bits
+    counts = {r.lang: r["n"] for r in labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    spare, got = SPARE, {}
+    while counts:
+        limits = labelled.sparkSession.createDataFrame([(k, min(1 << 62, (spare * docs_per_language << 62) // n)) for k, n in counts.items()], "__lang string, __limit long")
+        some = rows.join(F.broadcast(limits), F.col("lang") == F.col("__lang")).withColumn("__h", place).where(F.col("__h") <= F.col("__limit"))
+        some = some.withColumn("__t", F.regexp_like("text", F.lit(r"\p{L}"))).where("__t")
+        first = Window.partitionBy("lang").orderBy(F.greatest(F.length("text"), F.lit(LONGEST)), "__h", "doc_id", "text")
+        chosen = some.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= docs_per_language)
+        for r in chosen.select("lang", "__n", "text").collect():  # bounded by docs_per_language
+            got.setdefault(r.lang, {})[r["__n"]] = plain(r.text)
+        counts = {k: n for k, n in counts.items() if len(got.get(k, ())) < docs_per_language and n > spare * docs_per_language}
+        spare *= 16
+    return {k: [t for _, t in sorted(v.items()) if t] for k, v in got.items() if any(v.values())}
 
 
 def predictions(docs: DataFrame, texts: dict[str, list[str]], columns: list[str]) -> DataFrame:
     """The given columns, and lang_pred, score, bits. Rows stay where they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(texts)
+    shared = docs.sparkSession.sparkContext.broadcast(Model(texts))
     of = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").cast("string").alias("__text"))
     schema = StructType([*of.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits", DoubleType())])
 
     def task(batches):
-        m = model(shared.value)
+        m = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
@@ -211,17 +256,6 @@ def predictions(docs: DataFrame, texts: dict[str, list[str]], columns: list[str]
 LENGTHS, FOLDS, LEAST_WINDOWS = (64, 128, 256, 512, 1024), 5, 10
 
 
-def parse(text: str, moves: list[dict]) -> int:
-    """How many pieces a text needs, as Model counts them."""
-    n, state = 1, 0
-    for c in text:
-        to = moves[state].get(c)
-        if to is None:
-            n, to = n + 1, moves[0].get(c, 0)
-        state = to
-    return n
-
-
 def fits(texts: dict[str, list[str]]) -> dict[str, list[tuple[int, float]]]:
     """language -> (length, pieces a character), rising: a text of that length that needs more is in no known language.
 
@@ -232,19 +266,18 @@ def fits(texts: dict[str, list[str]]) -> dict[str, list[tuple[int, float]]]:
     one; where these aren't apart, or windows are few, that length has no limit.
     """
     out: dict[str, list[tuple[int, float]]] = {}
-    share = CHARS_IN_ALL // max(1, len(texts))
     for k, v in texts.items():
-        joined = "\n".join(v)[:share]
+        joined = "\n".join(v)
         own, mixed = {n: [] for n in LENGTHS}, {n: [] for n in LENGTHS}
         size, rnd = -(-len(joined) // FOLDS), random.Random(0)
         for at in range(0, len(joined), max(1, size)):
             held = joined[at : at + size].replace("\n", " ")
-            moves = SuffixAutomaton([c if c != "\n" else -1 for c in joined[:at] + "\n" + joined[at + size :]]).next
-            for n in LENGTHS:
-                for start in range(0, len(held) - n + 1, n):
-                    w = held[start : start + n]
-                    own[n].append(parse(w, moves) / n)
-                    mixed[n].append(parse("".join(rnd.sample(w, n)), moves) / n)
+            rest = Model({k: [joined[:at], joined[at + size :]]})
+            windows = [held[start : start + n] for n in LENGTHS for start in range(0, len(held) - n + 1, n)]
+            shuffled = ["".join(rnd.sample(w, len(w))) for w in windows]
+            for to, some in ((own, windows), (mixed, shuffled)):
+                for w, n in zip(some, rest.pieces(some)[:, 0].tolist(), strict=True):
+                    to[len(w)].append(n / len(w))
         worst = [(n, max(own[n]), statistics.median(mixed[n])) for n in LENGTHS if len(own[n]) >= LEAST_WINDOWS]
         out[k] = [(n, (a + b) / 2) for n, a, b in worst if a < b]
     return out
@@ -268,10 +301,10 @@ def fitting(m: Model, limits: dict[str, list[tuple[int, float]]], texts: list[st
 
 def known_language(docs: DataFrame, texts: dict[str, list[str]]) -> DataFrame:
     """docs, in its own columns, without texts that are in no known language ("und", or no fit)."""
-    shared, at, schema = docs.sparkSession.sparkContext.broadcast((texts, fits(texts))), docs.columns.index("text"), docs.schema
+    shared, at, schema = docs.sparkSession.sparkContext.broadcast((Model(texts), fits(texts))), docs.columns.index("text"), docs.schema
 
     def task(batches):
-        m, limits = model(shared.value[0]), shared.value[1]
+        m, limits = shared.value
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 b = whole.slice(start, 512)

@@ -204,6 +204,47 @@ def test_mix_with_clashing_columns(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_language_of_any_alphabet_is_learned_from_whole_texts(spark):
+    rnd = random.Random(5)
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 5000)] + [chr(c) for c in range(0x20000, 0x20000 + 1000)]
+    word = lambda of: "".join(rnd.choices(of, k=3))
+    words = {"x": [word(alphabet[:5500]) for _ in range(3000)], "y": [word(alphabet[500:]) for _ in range(3000)]}
+    text = lambda k, n: " ".join(rnd.choices(words[k], k=n))
+    late = "junk " * 2000 + text("x", 1500)  # what tells the language is at the end
+    rows = [(i, late if i < 3 else text(k, 1500), k) for i, k in enumerate(["x"] * 3 + ["x"] * 12 + ["y"] * 20)] + [(None, text("y", 5), "y"), (90, None, "x"), (91, "...", "z"), (92, text("x", 10), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = langid.training(docs)
+    assert set(texts) == {"x", "y"} and sorted(map(len, texts.values())) == [15, langid.DOCS_PER_LANGUAGE]
+    assert sorted(texts["x"]) == sorted(langid.plain(r[1]) for r in rows if r[2] == "x" and r[1])
+    m = langid.Model(texts)
+    of = [text(k, 12) for k in "xyxy"]
+    assert m.width == 6000 - sum(c not in set("".join(map("".join, texts.values()))) for c in alphabet) + 6 and m.predict(of)[0] == list("xyxy")
+    assert m.edges.keys.nbytes + m.edges.values.nbytes < 1 << 25
+    assert langid.training(docs, 2).keys() == {"x", "y"} and all(len(v) == 2 for v in langid.training(docs, 2).values())
+    for t in (of[0][:7], "q" + of[1], "", "junkjunk"):
+        assert m.pieces([t])[0].tolist() == [greedy(t, "\n".join(texts[k])) if t else 0 for k in "xy"]
+
+
+def greedy(text, of):
+    n, cur = 1, ""
+    for c in text:
+        if c not in of:
+            n, cur = n + 1, ""
+        elif cur + c in of:
+            cur += c
+        else:
+            n, cur = n + 1, c
+    return n
+
+
+def test_training_takes_rows_of_least_hash_in_large_tables(spark):
+    rows = [(i, "a b c " * (1 + i % 7), "x") for i in range(4000)] + [(None, f"d e {chr(97 + i % 26)}f", "x") for i in range(2000)] + [(9000 + i, "g" * 30_000, "w") for i in range(3)] + [(9500, "g", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    texts = langid.training(docs, 5)
+    assert len(texts["x"]) == 5 and len(texts["w"]) == 4 and texts["w"][0] == "g"
+    assert langid.training(docs.limit(0)) == {} and langid.training(docs, 5) == texts
+
+
 def test_ids_are_the_tokenizers_in_any_script():
     c = tokenfile.WordCache(public_tokenizers.path("word_bpe_49k.json"), "<u2")
     rnd = random.Random(3)
