@@ -16,8 +16,6 @@ from ..sources import container, fastq
 def compress(spark: SparkSession, source: str, target: str, options: Options | None = None, mode: str = "strict", chunk_bytes: int = 8 << 20) -> dict:
     began = time.time()
     reads = fastq.read(spark, source, mode, chunk_bytes)
-    if mode == "strict" and (bad := fastq.uncovered(fastq.scan(spark, source)).first()):
-        raise ValueError(f"{bad.file}: records cover {bad.bytes} of {bad.file_bytes} bytes")
     container.write(chunks.encoded(reads, options), target, options)
     size = lambda path: sum(n for _, n in fastq.files(path))
     got = totals(container.read(spark, target)).first().asDict() | {"file_bytes": size(source), "container_bytes": size(target)}

@@ -21,6 +21,14 @@ def scan_fastq(spark, sf_dir):
     return fastq.read(spark, path, partition_bytes=1 << 18).select(*READS)
 
 
+def scan_fastq_faulty(spark, sf_dir):
+    """What a scan in small ranges rejects from a file with faults."""
+    path = shared_dir(spark, "faulty")
+    raw = faulty(fields.raw_lines(reads(spark, sf_dir)))
+    raw.orderBy("rec").select(F.concat_ws("\n", *validate.LINES)).write.text(path)
+    return validate.rejected(fastq.scan(spark, path, 1 << 15)).select("rec", "error")
+
+
 def layouts(spark, sf_dir, drift=False):
     r = reads(spark, sf_dir, drift=drift)
     return r, identifiers.modes(r, identifiers.layout(r))
@@ -82,6 +90,7 @@ def index(spark, sf_dir):
 QUERIES = {
     "field_stats": lambda s, d: fields.field_stats(reads(s, d)),
     "scan_fastq": scan_fastq,
+    "scan_fastq_faulty": scan_fastq_faulty,
     "line_index": index,
     "line_lengths_delta": lambda s, d: fields.offset_deltas(index(s, d)),
     "line_offsets_restore": lambda s, d: fields.offsets_restored(fields.offset_deltas(index(s, d))),
@@ -166,6 +175,7 @@ RECORD = "concat('@', identifier, chr(10), basecalls, chr(10), '+', case when pl
 ORACLE_SQL = {
     "field_stats": f"{ROWS} select count(*) as records, cast(sum(strlen(identifier)) as bigint) as identifier_bytes, cast(sum(strlen(basecalls)) as bigint) as basecall_bytes, cast(sum(strlen(quality)) as bigint) as quality_bytes, (count(*) * 4 + 1) * 4 as line_length_bytes from reads",
     "scan_fastq": f"{ROWS} select {', '.join(READS)} from reads",
+    "scan_fastq_faulty": f"{ROWS}, {RAW}, {FAULTY}, {ERRORS} select rec, error from checked where error is not null",
     "line_index": f"{INDEX} select * from ix",
     "line_lengths_delta": f"{INDEX} select chunk_id, line, off - lag(off, 1, 0) over (partition by chunk_id order by line) as delta from ix",
     "line_offsets_restore": f"{INDEX} select * from ix",

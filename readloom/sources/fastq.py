@@ -1,10 +1,14 @@
 """Four-line sequencing files as a Spark data source.
 
-A file is cut into byte ranges; a record belongs to the range that holds its first byte. A
-range that doesn't begin a file starts at the first line from which four lines look like a
-record ('@', '+', equal lengths): for a valid file there is only one way to read them. After
-that a line count or marker that is wrong fails the task, so nothing is skipped in silence;
-uncovered() proves that ranges add up to the files.
+A file is cut into byte ranges; a record belongs to the range that holds its first byte.
+Records are lines 4k to 4k+3 of a file and nothing else decides where one begins: a first
+pass counts the line breaks of each range (a row a range, summed in order on the driver), so
+that each range knows the number of its first line. What is malformed is therefore one and
+the same record however the file is cut, and no byte is passed over. Files whose last line
+has no end (V2) or whose lines are no multiple of four (V5) fail before anything is read.
+
+Ranges are read in blocks: numpy finds the line breaks and Arrow takes the lines from the
+block by their places, without a Python object a line.
 
 Paths are opened by pyarrow's file systems (local, hdfs, s3 ...). For stores that only
 Spark's readers reach, lines_of() reads the lines with Spark's text source.
@@ -12,19 +16,21 @@ Spark's readers reach, lines_of() reads the lines with Spark's text source.
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators import fields, validate
+from ..storage import shared_dir
 
-PARTITION_BYTES, BATCH = 64 << 20, 8192
+PARTITION_BYTES, BLOCK, BATCH, CHUNK_BYTES = 64 << 20, 4 << 20, 8192, 8 << 20
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -44,141 +50,160 @@ def files(path: str) -> list[tuple[str, int]]:
 
 @dataclass
 class Range(InputPartition):
+    """Bytes start to end of a file; lines: the file's line breaks before start; rec, chunk: the file's first record and chunk."""
+
     file: str
     number: int
     start: int
     end: int
     size: int
+    lines: int = 0
+    rec: int = 0
+    chunk: int = 0
 
 
-class Lines:
-    """Lines of a file from a byte on, each with its place."""
-
-    def __init__(self, raw, at: int) -> None:
-        self.raw, self.at, self.ended = io.BufferedReader(raw, 1 << 20), at, True
-        self.raw.seek(at)
-
-    def next(self) -> tuple[int, bytes] | None:
-        line, at = self.raw.readline(), self.at
-        if not line:
-            return None
-        self.at += len(line)
-        if not line.endswith(b"\n"):
-            raise ValueError(f"V2: the file does not end with a line break (byte {self.at})")
-        return at, line[:-1]
-
-
-def looks_like_record(four: list[tuple[int, bytes]]) -> bool:
-    return four[0][1][:1] == b"@" and four[2][1][:1] == b"+" and len(four[1][1]) == len(four[3][1])
+def ranges(path: str, step: int) -> list[Range]:
+    return [Range(f, k, a, min(n, a + step), n) for k, (f, n) in enumerate(files(path)) for a in range(0, n, step)]
 
 
-def records(raw, start: int, end: int, size: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The four (place, line) of each record whose first byte is in [start, end)."""
-    lines = Lines(raw, max(0, start - 1))
-    if start and lines.next() is None:
-        return
-    four: list[tuple[int, bytes]] = []
-    synced = start == 0
+def records(raw, p: Range) -> Iterator[tuple[bytes, int, np.ndarray, int, int]]:
+    """Whole records that start in a range: (bytes, their place in the file, ends of lines in them, start of the first, its number in the file)."""
+    base = max(0, p.start - 1)
+    raw.seek(base)
+    held, line = b"", None if p.start else 0
     while True:
-        while len(four) < 4:
-            if (x := lines.next()) is None:
-                break
-            four.append(x)
-        if not four or four[0][0] >= end:
+        block = raw.read(BLOCK)
+        data, begin = held + block, 0
+        ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+        if line is None and len(ends):  # the line that runs into the range belongs to the one before
+            begin, line, ends = int(ends[0]) + 1, p.lines + int(ends[0] > 0), ends[1:]
+        if line is not None and line % 4:  # and so does the record
+            k = min(-line % 4, len(ends))
+            begin, line, ends = int(ends[k - 1]) + 1 if k else begin, line + k, ends[k:]
+        if line is not None and line % 4 == 0:
+            n = len(ends) // 4
+            starts = base + np.concatenate(([begin], ends[3 : 4 * n : 4] + 1))
+            here = int(np.searchsorted(starts[:n], p.end))
+            if here:
+                yield data, base, ends[: 4 * here], begin, line // 4
+            if starts[here] >= p.end:
+                return
+            begin, line = int(starts[n] - base), line + 4 * n
+        if not block:
             return
-        if len(four) < 4:
-            if synced or four[0][0] == start:
-                raise ValueError("V5: the number of lines is not a multiple of 4")
-            return  # the last record's tail, which belongs to the range before
-        if not synced and not looks_like_record(four):
-            four.pop(0)
-            continue
-        synced = True
-        yield four
-        four = []
+        held, base = data[begin:], base + begin
 
 
 class Reader(DataSourceReader):
-    def __init__(self, options: dict, binary: bool) -> None:
-        self.path, self.binary = options["path"], binary
+    def __init__(self, options: dict, binary: bool, count: bool) -> None:
+        self.path, self.binary, self.count = options["path"], binary, count
         self.step = int(options.get("partitionbytes", options.get("partitionBytes", PARTITION_BYTES)))
+        self.starts = options.get("starts", "")
 
     def partitions(self):
-        every = [Range(f, k, a, min(n, a + self.step), n) for k, (f, n) in enumerate(files(self.path)) for a in range(0, n, self.step)]
+        every = ranges(self.path, self.step)
+        if self.starts:
+            fs, path = opened(self.starts)
+            with fs.open_input_file(path) as f:
+                known = np.frombuffer(f.read(), "<i8").reshape(-1, 3).tolist()
+            for p, (p.lines, p.rec, p.chunk) in zip(every, known, strict=True):
+                pass
         return every or [Range("", 0, 0, 0, 0)]
 
     def read(self, p: Range) -> Iterator[pa.RecordBatch]:
         if not p.file:
             return
-        fs = opened(self.path)[0]
+        with opened(self.path)[0].open_input_file(p.file) as raw:
+            if self.count:
+                yield self.counted(raw, p)
+                return
+            for data, base, ends, begin, first in records(raw, p):
+                yield from self.batches(p, data, base, ends, begin, first)
+
+    def counted(self, raw, p: Range) -> pa.RecordBatch:
+        raw.seek(p.start)
+        n, last, left = 0, b"", p.end - p.start
+        while left and (block := raw.read(min(left, BLOCK))):
+            n, last, left = n + block.count(b"\n"), block[-1:], left - len(block)
+        return pa.record_batch([pa.array([p.number], pa.int32()), pa.array([p.start], pa.int64()), pa.array([n], pa.int64()), pa.array([last == b"\n"])], names=[c.split()[0] for c in COUNTS.split(", ")])
+
+    def batches(self, p: Range, data: bytes, base: int, ends: np.ndarray, begin: int, first: int) -> Iterator[pa.RecordBatch]:
+        edges = np.concatenate(([begin], ends + 1)).astype(np.int32)
+        lines = pc.binary_slice(pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(edges), pa.py_buffer(data)]), 0, -1)
         kind = pa.binary() if self.binary else pa.string()
-        with fs.open_input_file(p.file) as raw:
-            some: list = []
-            count = 0
-            for four in records(raw, p.start, p.end, p.size):
-                some.append(four)
-                if len(some) == BATCH:
-                    yield self.batch(p, some, count, kind)
-                    count += len(some)
-                    some = []
-            if some:
-                yield self.batch(p, some, count, kind)
+        text = [lines.take(pa.array(np.arange(k, len(ends), 4))).cast(kind) for k in range(4)]
+        at = edges[::4].astype(np.int64)
+        n = len(at) - 1
+        same = lambda v, t: pa.repeat(pa.scalar(v, t), n)
+        columns = [same(p.file, pa.string()), same(p.number, pa.int32()), pa.array(p.rec + first + np.arange(n)), pa.array(base + at[:-1]), pa.array(np.diff(at)), same(p.size, pa.int64()), same(p.chunk, pa.int64()), *text]
+        whole = pa.record_batch(columns, names=[c.split()[0] for c in SCHEMA.split(", ")])
+        for k in range(0, n, BATCH):
+            yield whole.slice(k, BATCH)
 
-    def batch(self, p: Range, some: list, count: int, kind) -> pa.RecordBatch:
-        n = len(some)
-        same = lambda v, t: pa.array([v] * n, t)
-        size = pa.array([f[3][0] + len(f[3][1]) + 1 - f[0][0] for f in some], pa.int64())
-        text = [pa.array([f[k][1] for f in some], pa.binary()).cast(kind) for k in range(4)]
-        return pa.record_batch([same(p.file, pa.string()), same(p.number, pa.int32()), same(p.start, pa.int64()), pa.array(range(count, count + n), pa.int64()), pa.array([f[0][0] for f in some], pa.int64()), size, same(p.size, pa.int64()), *text], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-
-SCHEMA = "file string, file_no int, range_start long, k long, off long, bytes long, file_bytes long, l0 string, l1 string, l2 string, l3 string"
+SCHEMA = "file string, file_no int, rec long, off long, bytes long, file_bytes long, first_chunk long, l0 string, l1 string, l2 string, l3 string"
+COUNTS = "file_no int, range_start long, lines long, ended boolean"
 
 
 class FastqSource(DataSource):
-    """spark.read.format("fastq").load(path); options partitionBytes, binary (lines as bytes: any encoding)."""
+    """spark.read.format("fastq").load(path); options partitionBytes, binary (lines as bytes: any encoding), count (lines of ranges), starts (what scan() makes of these)."""
 
     @classmethod
     def name(cls) -> str:
         return "fastq"
 
-    def binary(self) -> bool:
-        return str(self.options.get("binary", "false")).lower() == "true"
+    def flag(self, name: str) -> bool:
+        return str(self.options.get(name, "false")).lower() == "true"
 
     def schema(self) -> str:
-        return SCHEMA.replace("l0 string, l1 string, l2 string, l3 string", "l0 binary, l1 binary, l2 binary, l3 binary") if self.binary() else SCHEMA
+        if self.flag("count"):
+            return COUNTS
+        return SCHEMA.replace("l0 string, l1 string, l2 string, l3 string", "l0 binary, l1 binary, l2 binary, l3 binary") if self.flag("binary") else SCHEMA
 
     def reader(self, schema) -> Reader:
-        return Reader(self.options, self.binary())
-
-
-def scan(spark: SparkSession, path: str, partition_bytes: int = PARTITION_BYTES, binary: bool = False) -> DataFrame:
-    """SCHEMA: a row a record, unordered."""
+        return Reader(self.options, self.flag("binary"), self.flag("count"))
+
+
+def starts(spark: SparkSession, path: str, partition_bytes: int, chunk_bytes: int) -> str:
+    """A file of (lines before, first record and chunk of the file) for each range, from counts of lines; V2 and V5 fail."""
+    rows = spark.read.format("fastq").option("partitionBytes", partition_bytes).option("count", "true").load(path).collect()  # a row a range
+    counted = {(r.file_no, r.range_start): r for r in rows}
+    out, before, rec, chunk = [], 0, 0, 0
+    for p in ranges(path, partition_bytes):
+        if not p.start:
+            before = 0
+        c = counted[p.number, p.start]
+        out.append((before, rec, chunk))
+        before += c.lines
+        if p.end == p.size:
+            if not c.ended:
+                raise ValueError(f"V2: {p.file} does not end with a line break (byte {p.size})")
+            if before % 4:
+                raise ValueError(f"V5: the number of lines of {p.file}, {before}, is not a multiple of 4")
+            rec, chunk = rec + before // 4, chunk + -(-p.size // chunk_bytes)
+    target = shared_dir(spark, "starts")
+    fs, to = opened(target)
+    fs.create_dir(to.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(to) as f:
+        f.write(np.array(out, "<i8").tobytes())
+    return target
+
+
+def scan(spark: SparkSession, path: str, partition_bytes: int = PARTITION_BYTES, binary: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """SCHEMA: a row a record, unordered; rec is its number over all files, in order of name."""
     spark.dataSource.register(FastqSource)
-    return spark.read.format("fastq").option("partitionBytes", partition_bytes).option("binary", str(binary).lower()).load(path)
-
-
-def numbered(rows: DataFrame) -> DataFrame:
-    """rows and rec: the record's number over all files. Counts of ranges, summed in order (a row a range)."""
-    counts = rows.groupBy("file_no", "range_start").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("file_no", "range_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("file_no", "range_start", before.alias("before"))
-    return rows.join(starts, ["file_no", "range_start"]).withColumn("rec", F.col("before") + F.col("k")).drop("before")
+    known = starts(spark, path, partition_bytes, chunk_bytes)
+    return spark.read.format("fastq").option("partitionBytes", partition_bytes).option("binary", str(binary).lower()).option("starts", known).load(path)
 
 
-def read(spark: SparkSession, path: str, mode: str = "strict", chunk_bytes: int = 8 << 20, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+def read(spark: SparkSession, path: str, mode: str = "strict", chunk_bytes: int = CHUNK_BYTES, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """Reads of a file or folder: rec, chunk_id, off, identifier, basecalls, plus_kind, quality, file.
 
     A chunk is a run of chunk_bytes of a file; chunks are numbered over all files.
     mode: strict fails at a bad record, permissive leaves it out.
     """
-    first, total = {}, 0
-    for k, (_, n) in enumerate(files(path)):
-        first[k] = total
-        total += max(1, -(-n // chunk_bytes))
-    starts = F.create_map(*[F.lit(x) for kv in first.items() for x in kv]) if first else F.create_map(F.lit(0), F.lit(0))
-    rows = numbered(scan(spark, path, partition_bytes))
-    rows = rows.withColumn("chunk_id", (F.element_at(starts, F.col("file_no")) + F.floor(F.col("off") / chunk_bytes)).cast("int"))
+    rows = scan(spark, path, partition_bytes, chunk_bytes=chunk_bytes)
+    rows = rows.withColumn("chunk_id", (F.col("first_chunk") + F.floor(F.col("off") / chunk_bytes)).cast("int"))
     return validate.parsed(rows, mode, ("chunk_id", "off", "file"))
 
 

@@ -69,12 +69,58 @@ def test_strict_mode_fails_at_each_rule(spark, tmp_path, text, rule):
 def test_permissive_mode_keeps_the_good_and_shows_the_rest(spark, tmp_path):
     path = put(tmp_path / "x.fq", record(0) + record(1, "AXC") + record(2))
     assert [r[0] for r in rows(fastq.read(spark, path, "permissive"))] == [0, 2]
-    raw = fastq.numbered(fastq.scan(spark, path))
+    raw = fastq.scan(spark, path)
     assert [(r.rec, r.error) for r in validate.rejected(raw).collect()] == [(1, "V15")]
     with pytest.raises(ValueError):
         validate.parsed(raw, "lenient")
 
 
+FAULTS = {
+    "V7": lambda r: r[1:],
+    "V8": lambda r: r.replace("\n+\n", "\n-\n"),
+    "V9": lambda r: "@\n" + r.partition("\n")[2],
+    "V10": lambda r: r.replace("\n+\n", "\n+other\n"),
+    "V11": lambda r: r[:-2] + "\n",
+    "V15": lambda r: r.replace("ACGTN", "ACGTX", 1),
+}
+
+
+@pytest.mark.parametrize("rule", FAULTS)
+def test_a_bad_record_is_found_wherever_the_file_is_cut(spark, tmp_path, rule, monkeypatch):
+    parts = [record(i, qual="@+I@+") for i in range(5)]
+    parts[2] = FAULTS[rule](parts[2])
+    path = put(tmp_path / "x.fq", "".join(parts))
+    size, want = len("".join(parts)), [r.encode().split(b"\n")[:4] for r in parts]
+    first = fastq.ranges(path, size)[0]
+    for cut in range(1, size):  # every cut, without Spark: counts, then both ranges
+        monkeypatch.setattr(fastq, "BLOCK", 1 + cut % 13)
+        reader, got = fastq.Reader({"path": path, "partitionBytes": str(cut)}, True, False), []
+        lines = 0
+        for p in fastq.ranges(path, cut)[:2] if 2 * cut >= size else [fastq.Range(first.file, 0, 0, cut, size), fastq.Range(first.file, 0, cut, size, size)]:
+            p.lines = lines
+            with open(path, "rb") as raw:
+                lines += reader.counted(raw, p).column(2)[0].as_py()
+            for b in reader.read(p):
+                got += [(r["rec"], [r[f"l{k}"] for k in range(4)]) for r in b.to_pylist()]
+        assert got == list(enumerate(want)) and lines == 20
+    for step in (7, size // 2 + 3, size):
+        raw = fastq.scan(spark, path, step)
+        assert [(r.rec, r.error) for r in validate.rejected(raw).collect()] == [(2, rule)]
+        assert [r[0] for r in rows(fastq.read(spark, path, "permissive", partition_bytes=step))] == [0, 1, 3, 4]
+        with pytest.raises(Exception, match="record 3"):
+            fastq.read(spark, path, partition_bytes=step).collect()
+
+
+def test_long_records_and_several_blocks(spark, tmp_path, monkeypatch):
+    text = "".join(record(i, "ACGTN" * (200 * (i % 5))) for i in range(60))
+    path = put(tmp_path / "l.fq", text)
+    monkeypatch.setattr(fastq, "BLOCK", 100)
+    p, got = fastq.ranges(path, len(text))[0], []
+    for b in fastq.Reader({"path": path}, False, False).read(p):
+        got += b.to_pylist()
+    assert "".join(f"{r['l0']}\n{r['l1']}\n{r['l2']}\n{r['l3']}\n" for r in got) == text and sum(r["bytes"] for r in got) == len(text)
+
+
 def test_index_rules():
     ok = dict(offsets=[0, 2, 4, 6, 8], size=8, records=1, last_byte=b"\n")
     assert validate.check_index(**ok) is None
