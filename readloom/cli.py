@@ -19,17 +19,22 @@ def positive(text: str) -> int:
     return n
 
 
+def setting(name: str, default: str) -> str:
+    """A flag's default: the environment's READLOOM_<name>, or the given one."""
+    return os.environ.get(f"READLOOM_{name}", default)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="readloom")
     p.add_argument("command", choices=("compress", "decompress", "roundtrip"))
     p.add_argument("source")
     p.add_argument("target")
-    p.add_argument("--quality-codec", choices=NAMES, default=os.environ.get("READLOOM_QUALITY_CODEC", "bwt"))
-    p.add_argument("--base-codec", choices=NAMES, default="zstd")
-    p.add_argument("--base-pack-order", choices=sorted(PACK_ORDERS), default="tgca")
+    p.add_argument("--quality-codec", choices=NAMES, default=setting("QUALITY_CODEC", "bwt"))
+    p.add_argument("--base-codec", choices=NAMES, default=setting("BASE_CODEC", "zstd"))
+    p.add_argument("--base-pack-order", choices=sorted(PACK_ORDERS), default=setting("BASE_PACK_ORDER", "tgca"))
     p.add_argument("--transpose", action="store_true")
     p.add_argument("--mode", choices=("strict", "permissive"), default="strict")
-    p.add_argument("--chunk-bytes", type=positive, default=8 << 20)
+    p.add_argument("--chunk-bytes", type=positive, default=setting("CHUNK_BYTES", str(8 << 20)))
     p.add_argument("--stat", action="store_true", help="print totals and seconds")
     p.add_argument("--log-stat", metavar="FILE", help="append them to a file")
     return p
@@ -37,6 +42,10 @@ def parser() -> argparse.ArgumentParser:
 
 def main(args: list[str] | None = None, spark=None) -> int:
     a = parser().parse_args(args)
+    for name, value, known in (("QUALITY_CODEC", a.quality_codec, NAMES), ("BASE_CODEC", a.base_codec, NAMES), ("BASE_PACK_ORDER", a.base_pack_order, PACK_ORDERS)):
+        if value not in known:  # argparse does not check defaults
+            print(f"error: READLOOM_{name} is {value!r}; there are {', '.join(sorted(known))}", file=sys.stderr)
+            return 2
     from pyspark.sql import SparkSession
 
     from .plans import workflow

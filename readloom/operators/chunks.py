@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import codecs, kernels
 from ..schema import PACK_ORDERS, SLICE_BYTES, STREAMS
-from . import encode
+from . import encode, validate
 from .identifiers import chunk_layout
 
 
@@ -66,7 +66,11 @@ def decoded_ints(data: bytes, encoding: str, n: int) -> np.ndarray:
 
 
 def encoded(reads: DataFrame, options: Options | None = None) -> DataFrame:
-    """STREAMS of reads (chunk_id, rec, identifier, basecalls, plus_kind, quality)."""
+    """STREAMS of reads (chunk_id, rec, identifier, basecalls, plus_kind, quality).
+
+    text_bytes: what a stream stands for in the records, before any encoding (on its first
+    slice; of "about" the separators between an identifier's tokens).
+    """
     o = options or Options()
 
     def make(key, t: pa.Table) -> dict:
@@ -75,10 +79,10 @@ def encoded(reads: DataFrame, options: Options | None = None) -> DataFrame:
         lengths = np.array([len((x or "").encode()) for x in quality], np.int64)
         rows: dict[str, list] = {n: [] for n in encode.arrow(STREAMS).names}
 
-        def put(stream: str, data: bytes, codec: str, n: int, col: int = -1, kind: str = "", encoding: str = "plain") -> None:
+        def put(stream: str, data: bytes, codec: str, n: int, col: int = -1, kind: str = "", encoding: str = "plain", text: int = 0) -> None:
             for k, part in enumerate(codecs.slices(data, o.slice_bytes) or [b""]):
                 packed = codecs.compress(part, codec)
-                for name, v in zip(rows, (key[0], stream, col, k, kind, encoding, codec, n, len(part), len(packed), packed), strict=True):
+                for name, v in zip(rows, (key[0], stream, col, k, kind, encoding, codec, n, 0 if k else text, len(part), len(packed), packed), strict=True):
                     rows[name].append(v)
 
         sep: list[str] = []
@@ -87,14 +91,16 @@ def encoded(reads: DataFrame, options: Options | None = None) -> DataFrame:
             for c, (kind, values) in enumerate(zip(kinds, cols, strict=True)):
                 if kind == "int32":
                     encoding, data = best_encoding([int(v) for v in values], o.codec)
-                    put("id_values", data, o.codec, len(values), c, kind, encoding)
+                    put("id_values", data, o.codec, len(values), c, kind, encoding, sum(map(len, values)))
                 else:
-                    put("id_values", "".join(values).encode(), o.codec, len(values), c, kind)
+                    data = "".join(values).encode()
+                    put("id_values", data, o.codec, len(values), c, kind, text=len(data))
                     put("id_lengths", np.array([len(v.encode()) for v in values], "<u4").tobytes(), o.codec, len(values), c)
         else:
-            put("id_flat", "".join(ids).encode(), o.codec, len(ids))
+            data = "".join(ids).encode()
+            put("id_flat", data, o.codec, len(ids), text=len(data))
         counts, deltas = kernels.n_mask(bases)
-        put("bases", kernels.pack(bases, o.pack_order), o.base_codec, len(bases))
+        put("bases", kernels.pack(bases, o.pack_order), o.base_codec, len(bases), text=len(bases))
         put("n_counts", counts.astype("<u2").tobytes(), o.codec, len(counts))
         if len(deltas):
             put("n_positions", deltas.astype("<u2").tobytes(), o.codec, len(deltas))
@@ -103,17 +109,17 @@ def encoded(reads: DataFrame, options: Options | None = None) -> DataFrame:
             put("case", np.packbits(low).tobytes(), o.codec, len(bases))
         fixed = bool(len(lengths)) and int(lengths.min()) == int(lengths.max())
         turned = o.transpose and fixed and int(lengths[0]) > 0
-        put("quality", kernels.transpose(scores, len(lengths), int(lengths[0])) if turned else scores, o.quality_codec, len(scores))
+        put("quality", kernels.transpose(scores, len(lengths), int(lengths[0])) if turned else scores, o.quality_codec, len(scores), text=len(scores))
         id_lengths = np.array([len(x.encode()) for x in ids], np.int64)
         plus = np.array(t["plus_kind"].to_pylist(), np.uint8)
         index = np.stack([id_lengths + 2, lengths + 1, np.where(plus == 1, id_lengths + 2, 2), lengths + 1], 1).ravel()
-        put("line_lengths", np.concatenate(([0], index)).astype("<u4").tobytes(), o.codec, len(index) + 1)
+        put("line_lengths", np.concatenate(([0], index)).astype("<u4").tobytes(), o.codec, len(index) + 1, text=4 * (len(index) + 1))
         put("plus", plus.tobytes(), o.codec, len(plus))
         rec = t["rec"].to_numpy()
         if len(rec) and int(rec[-1]) - int(rec[0]) + 1 != len(rec):  # records were left out
             put("rec", rec.astype("<i8").tobytes(), o.codec, len(rec))
         about = {"records": len(ids), "first_rec": t["rec"][0].as_py(), "columnar": found is not None, "separators": sep, "order": o.pack_order, "layout": "fixed" if fixed else "variable", "fixed_len": int(lengths[0]) if fixed else 0, "transposed": turned, "case_loss": 0 if o.keep_case else int(low.sum())}
-        put("about", json.dumps(about).encode(), "none", 1)
+        put("about", json.dumps(about).encode(), "none", 1, text=len(ids) * sum(len(x.encode()) for x in sep))
         return rows
 
     return encode.by_chunk(reads.select("chunk_id", "rec", "identifier", "basecalls", "plus_kind", "quality"), ["chunk_id"], STREAMS, make)
@@ -134,8 +140,9 @@ def decoded(streams: DataFrame) -> DataFrame:
         about = json.loads(data["about", -1])
         n = about["records"]
         index = np.frombuffer(data["line_lengths", -1], "<u4").astype(np.int64)
-        if len(index) != 4 * n + 1 or index[0] != 0:
-            raise ValueError("the line index does not fit the records")
+        offsets = np.cumsum(index)
+        if bad := validate.check_index(offsets, int(offsets[-1]) if len(offsets) else 0, n):
+            raise ValueError(f"{bad}: the line index does not fit the records")
         four = index[1:].reshape(n, 4)
         lengths, id_lengths = four[:, 1] - 1, four[:, 0] - 2
         if about["columnar"]:
@@ -159,9 +166,13 @@ def decoded(streams: DataFrame) -> DataFrame:
         scores = data["quality", -1]
         if about["transposed"]:
             scores = kernels.untranspose(scores, n, about["fixed_len"])
+        plus = np.frombuffer(data["plus", -1], np.uint8)
+        own = np.array([len(x.encode()) for x in ids], np.int64) if n else np.zeros(0, np.int64)
+        if bad := validate.check_records(offsets, np.stack([own + 1, lengths, np.where(plus == 1, own + 1, 1), lengths], 1)):
+            raise ValueError(f"{bad}: a record's lines do not follow one another in the index")
         rec = np.frombuffer(data["rec", -1], "<i8") if ("rec", -1) in data else about["first_rec"] + np.arange(n)
         text = lambda b, k: [p.decode() for p in kernels.cut(b, k)]
-        return pa.table({"chunk_id": [key[0].as_py()] * n, "rec": rec.tolist(), "identifier": ids, "basecalls": text(bases.astype(np.uint8).tobytes(), lengths), "plus_kind": np.frombuffer(data["plus", -1], np.uint8).tolist(), "quality": text(scores, lengths)}, schema=encode.arrow(READ_BACK))
+        return pa.table({"chunk_id": [key[0].as_py()] * n, "rec": rec.tolist(), "identifier": ids, "basecalls": text(bases.astype(np.uint8).tobytes(), lengths), "plus_kind": plus.tolist(), "quality": text(scores, lengths)}, schema=encode.arrow(READ_BACK))
 
     return streams.groupBy("chunk_id").applyInArrow(run, READ_BACK)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import UINT32_MAX
@@ -62,13 +63,14 @@ def rejected(lines: DataFrame) -> DataFrame:
     return checked(lines).where("error is not null").select("rec", "error", *LINES)
 
 
-def check_index(offsets: list[int], size: int, records: int, last_byte: bytes) -> str | None:
-    """The rule on a whole file's line index that is broken (V1-V6, V12, V13), or None."""
+def check_index(offsets: np.ndarray, size: int, records: int, last_byte: bytes = b"\n") -> str | None:
+    """The rule on a whole line index that is broken (V1-V6, V13), or None. The decoder calls it for each chunk."""
+    offsets = np.asarray(offsets, np.int64)
     if size == 0:
-        return None if list(offsets) == [0] and records == 0 else "V1"
+        return None if offsets.tolist() == [0] and records == 0 else "V1"
     if last_byte != b"\n":
         return "V2"
-    if not offsets or offsets[0] != 0:
+    if not len(offsets) or offsets[0] != 0:
         return "V3"
     if offsets[-1] != size:
         return "V4"
@@ -76,9 +78,30 @@ def check_index(offsets: list[int], size: int, records: int, last_byte: bytes) -
         return "V5"
     if (len(offsets) - 1) // 4 != records:
         return "V6"
-    return "V13" if any(b <= a for a, b in zip(offsets, offsets[1:], strict=False)) else None
+    return "V13" if (np.diff(offsets) <= 0).any() else None
 
 
-def check_record(offsets: list[int], lengths: list[int]) -> str | None:
-    """V12: lines of a record that don't follow one another in the index."""
-    return "V12" if any(b - a != n + 1 for a, b, n in zip(offsets, offsets[1:], lengths, strict=False)) else None
+def check_records(offsets: np.ndarray, lengths: np.ndarray) -> str | None:
+    """V12: lines, of these lengths without their ends, that don't follow one another in the index. lengths: a row a record."""
+    return "V12" if (np.diff(offsets) != np.ravel(lengths) + 1).any() else None
+
+
+def index_errors(index: DataFrame, chunks: DataFrame) -> DataFrame:
+    """chunk_id and the first rule that a chunk's line index breaks. index: chunk_id, line, off; chunks: chunk_id, size, records.
+
+    An index has the offsets of all lines and, last, the chunk's size. Steps between lines are
+    taken from a window in the chunk, which is bounded.
+    """
+    step = F.col("off") - F.lag("off").over(Window.partitionBy("chunk_id").orderBy("line"))
+    by = index.withColumn("step", step).groupBy("chunk_id").agg(F.count("*").alias("n"), F.min_by("off", "line").alias("first"), F.max_by("off", "line").alias("last"), F.min("step").alias("least"))
+    n = F.coalesce("n", F.lit(0))
+    rule = (
+        F.when((F.col("size") == 0) & ((n != 1) | (F.col("first") != 0) | (F.col("records") != 0)), "V1")
+        .when(F.col("size") == 0, None)
+        .when((n == 0) | (F.col("first") != 0), "V3")
+        .when(F.col("last") != F.col("size"), "V4")
+        .when((n - 1) % 4 != 0, "V5")
+        .when(F.floor((n - 1) / 4) != F.col("records"), "V6")
+        .when(F.col("least") <= 0, "V13")
+    )
+    return chunks.join(by, "chunk_id", "left").select("chunk_id", rule.alias("error")).where("error is not null")

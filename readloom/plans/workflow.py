@@ -10,16 +10,25 @@ from pyspark.sql import functions as F
 from ..functions import codecs
 from ..operators import chunks, encode, fields
 from ..operators.chunks import Options
+from ..schema import OWN
 from ..sources import container, fastq
 
 
 def compress(spark: SparkSession, source: str, target: str, options: Options | None = None, mode: str = "strict", chunk_bytes: int = 8 << 20) -> dict:
-    began = time.time()
+    """Totals, bytes of the file and of the container, and seconds: index (lines counted), encode (scan, validate, encode, write in one job), report."""
+    stage, began = {}, time.time()
+
+    def done(name: str) -> None:
+        stage[f"{name}_seconds"] = time.time() - began - sum(stage.values())
+
     reads = fastq.read(spark, source, mode, chunk_bytes)
+    done("index")
     container.write(chunks.encoded(reads, options), target, options)
+    done("encode")
     size = lambda path: sum(n for _, n in fastq.files(path))
     got = totals(container.read(spark, target)).first().asDict() | {"file_bytes": size(source), "container_bytes": size(target)}
-    return got | {"file_percent": 100 * got["container_bytes"] / got["file_bytes"] if got["file_bytes"] else None, "seconds": time.time() - began}
+    done("report")
+    return got | stage | {"file_percent": 100 * got["container_bytes"] / got["file_bytes"] if got["file_bytes"] else None, "seconds": sum(stage.values())}
 
 
 def decompress(spark: SparkSession, source: str, target: str) -> None:
@@ -34,38 +43,52 @@ def roundtrip(spark: SparkSession, source: str, folder: str, options: Options |
 
 
 def totals(streams: DataFrame) -> DataFrame:
-    """One row: records, raw and compressed bytes of the payload (without plus kinds), ratio in percent."""
-    payload = ~F.col("stream").isin("plus", "about", "case", "rec")
+    """One row: records, raw bytes (identifiers, basecalls, quality and line index of the records) and compressed bytes (without plus kinds), ratio in percent."""
+    payload = ~F.col("stream").isin("plus", *OWN)
     n = lambda c, on: F.coalesce(F.sum(F.when(on, F.col(c))), F.lit(0)).cast("long")
-    one = streams.agg(n("n", (F.col("stream") == "plus") & (F.col("slice") == 0)).alias("records"), n("raw_bytes", payload).alias("raw_bytes"), n("comp_bytes", payload).alias("comp_bytes"))
+    one = streams.agg(n("n", (F.col("stream") == "plus") & (F.col("slice") == 0)).alias("records"), n("text_bytes", F.lit(True)).alias("raw_bytes"), n("comp_bytes", payload).alias("comp_bytes"))
     return one.withColumn("payload_percent", codecs.ratio_percent(F.col("comp_bytes"), F.col("raw_bytes")))
 
 
 def by_stream(streams: DataFrame) -> DataFrame:
-    """A row a stream and identifier column: kind, encodings used, bytes, percent."""
-    by = streams.groupBy("stream", "col").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kind"), F.array_join(F.array_sort(F.collect_set("encoding")), ",").alias("encoding"), F.sum("raw_bytes").alias("raw_bytes"), F.sum("comp_bytes").alias("comp_bytes"))
+    """A row a stream, an identifier column's values and lengths as one: kind, encodings used, raw and encoded and compressed bytes, percent of raw.
+
+    raw: text of the records; for lengths of string columns, N counts and positions, plus kinds and what is the container's own, their plain size.
+    """
+    plain = F.col("stream").isin("id_lengths", "n_counts", "n_positions", "plus", *OWN)
+    name = F.when(F.col("stream").isin("id_values", "id_lengths"), "id_column").otherwise(F.col("stream"))
+    by = streams.groupBy(name.alias("stream"), "col").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("stream") == "id_values", F.col("kind")))), ",").alias("kind"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("stream") != "id_lengths", F.col("encoding")))), ",").alias("encoding"), F.sum(F.when(plain, F.col("raw_bytes")).otherwise(F.col("text_bytes"))).alias("raw_bytes"), F.sum("raw_bytes").alias("encoded_bytes"), F.sum("comp_bytes").alias("comp_bytes"))
     return by.withColumn("percent", codecs.ratio_percent(F.col("comp_bytes"), F.col("raw_bytes")))
 
 
-def ablation(reads: DataFrame, codec: str = "zstd") -> DataFrame:
-    """variant, stream, raw_bytes, comp_bytes, percent: the records' text as it is, its four lines apart, and all encodings, also with transposed scores."""
+def ablation(reads: DataFrame, codecs_: tuple[str, ...] = ("bwt", "zstd")) -> DataFrame:
+    """variant, codec, stream, raw_bytes, comp_bytes, percent, seconds: the records' text as it is, its four lines apart, and all encodings, also with transposed scores.
 
-    def plain(variant: str, text) -> DataFrame:
+    raw_bytes of the whole is the text's; a percentage is of that. seconds: of the codec, summed
+    over chunks; null for all encodings.
+    """
+
+    def plain(variant: str, stream: str, text, codec: str) -> DataFrame:
         def make(key, t):
-            data = encode.stream(t, "v")
+            data, began = encode.stream(t, "v"), time.perf_counter()
             parts = [len(codecs.compress(p, codec)) for p in codecs.slices(data)]
-            return {"chunk_id": [key[0]], "raw_bytes": [len(data)], "comp_bytes": [sum(parts)]}
+            return {"chunk_id": [key[0]], "raw_bytes": [len(data)], "comp_bytes": [sum(parts)], "micros": [int(1e6 * (time.perf_counter() - began))]}
 
-        return encode.by_chunk(reads.select("chunk_id", "rec", F.concat(text, F.lit("\n")).alias("v")), ["chunk_id"], "chunk_id int, raw_bytes long, comp_bytes long", make)
+        of = encode.by_chunk(reads.select("chunk_id", "rec", F.concat(text, F.lit("\n")).alias("v")), ["chunk_id"], "chunk_id int, raw_bytes long, comp_bytes long, micros long", make)
+        return of.select(F.lit(variant).alias("variant"), F.lit(codec).alias("codec"), F.lit(stream).alias("stream"), "raw_bytes", "comp_bytes", "micros")
 
     lines = {"identifiers": F.concat(F.lit("@"), "identifier"), "basecalls": F.col("basecalls"), "plus": fields.plus_line(), "quality": F.col("quality")}
-    made = [plain("raw", fields.text()).select(F.lit("raw").alias("variant"), F.lit("all").alias("stream"), "raw_bytes", "comp_bytes")]
-    made += [plain("split", c).select(F.lit("split").alias("variant"), F.lit(k).alias("stream"), "raw_bytes", "comp_bytes") for k, c in lines.items()]
-    for variant, turned in (("full", False), ("full_transposed", True)):
-        streams = chunks.encoded(reads, Options(quality_codec=codec, transpose=turned))
-        made.append(streams.select(F.lit(variant).alias("variant"), "stream", "raw_bytes", "comp_bytes"))
+    whole = reads.agg(F.sum(F.octet_length(fields.text()) + 1).alias("raw_bytes"))
+    made = []
+    for c in codecs_:
+        made.append(plain("raw", "all", fields.text(), c))
+        made += [plain("split", k, x, c) for k, x in lines.items()]
+        for variant, turned in (("full", False), *([("full_transposed", True)] if c == "zstd" else [])):
+            size = chunks.encoded(reads, Options(quality_codec=c, transpose=turned)).agg(F.sum("comp_bytes").alias("comp_bytes"))
+            made.append(whole.crossJoin(size).select(F.lit(variant).alias("variant"), F.lit(c).alias("codec"), F.lit("all").alias("stream"), "raw_bytes", "comp_bytes", F.lit(None).cast("long").alias("micros")))
     every = made[0]
     for m in made[1:]:
         every = every.unionByName(m)
-    by = every.groupBy("variant", "stream").agg(F.sum("raw_bytes").alias("raw_bytes"), F.sum("comp_bytes").alias("comp_bytes"))
-    return by.withColumn("percent", codecs.ratio_percent(F.col("comp_bytes"), F.col("raw_bytes")))
+    by = every.groupBy("variant", "codec", "stream").agg(F.sum("raw_bytes").alias("raw_bytes"), F.sum("comp_bytes").alias("comp_bytes"), (F.sum("micros") / 1e6).alias("seconds"))
+    apart = by.where("variant = 'split'").groupBy("variant", "codec").agg(F.lit("all").alias("stream"), F.sum("raw_bytes").alias("raw_bytes"), F.sum("comp_bytes").alias("comp_bytes"), F.sum("seconds").alias("seconds"))
+    return by.unionByName(apart).withColumn("percent", codecs.ratio_percent(F.col("comp_bytes"), F.col("raw_bytes")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .operators import chunks, encode, fields, identifiers, validate
@@ -55,8 +55,55 @@ def text_md5(d: DataFrame) -> DataFrame:
 
 
 def encoding_choice(spark, sf_dir):
-    s = chunks.encoded(reads(spark, sf_dir)).where("stream = 'id_values'")
-    return s.groupBy("chunk_id", "col").agg(F.max("kind").alias("kind"), F.max("encoding").alias("encoding"), F.sum("raw_bytes").alias("raw_bytes"), F.sum("comp_bytes").alias("comp_bytes"))
+    """Choice of encoding where a codec changes no size."""
+    s = chunks.encoded(reads(spark, sf_dir), Options(codec="none")).where("stream = 'id_values'")
+    return s.groupBy("chunk_id", "col").agg(F.max("kind").alias("kind"), F.max("encoding").alias("encoding"), F.sum("text_bytes").alias("text_bytes"), F.sum("raw_bytes").alias("raw_bytes"))
+
+
+#: rule -> (rows to change, column, new value; none: the rows go)
+STREAM_FAULTS = {
+    "packed size": ("stream = 'bases'", "raw_bytes", "raw_bytes + 4"),
+    "n counts size": ("stream = 'n_counts'", "raw_bytes", "raw_bytes + 2"),
+    "n positions size": ("stream = 'n_positions'", "raw_bytes", "raw_bytes + 2"),
+    "plus kinds": ("stream = 'plus'", "raw_bytes", "raw_bytes + 1"),
+    "line lengths": ("stream = 'line_lengths'", "raw_bytes", "raw_bytes + 4"),
+    "quality size": ("stream = 'quality'", "raw_bytes", "raw_bytes + 1"),
+    "string column lengths": ("stream = 'id_lengths' and col = 0", "raw_bytes", "raw_bytes + 4"),
+    "string column encoding": ("stream = 'id_values' and col = 0", "encoding", "'delta'"),
+    "stream sizes": ("stream = 'quality'", "comp_bytes", "comp_bytes + 1"),
+    "slice numbers": ("stream = 'quality'", "slice", "slice + 1"),
+    "codec names": ("stream = 'bases'", "codec", "'lzma'"),
+    "column kinds": ("stream = 'id_values' and col = 1", "kind", "'float'"),
+    "column encodings": ("stream = 'id_values' and col = 1", "encoding", "'rle'"),
+    "layout names": ("stream = 'about'", "payload", "cast(replace(cast(payload as string), 'variable', 'varyable') as binary)"),
+    "columns and separators": ("stream in ('id_values', 'id_lengths') and col = 6", None, None),
+    "missing streams": ("stream = 'quality'", None, None),
+}
+
+
+def faulty_streams(streams: DataFrame) -> DataFrame:
+    """Each chunk as it is and, numbered chunk_id * 100 + k, with the k-th of these faults."""
+    rows = streams.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(STREAM_FAULTS)))).alias("k"))
+    for k, (on, column, value) in enumerate(STREAM_FAULTS.values(), 1):
+        on = F.expr(f"k = {k} and {on}")
+        rows = rows.withColumn(column, F.when(on, F.expr(value)).otherwise(F.col(column))) if column else rows.where(~on)
+    return rows.withColumn("chunk_id", (F.col("chunk_id") * 100 + F.col("k")).cast("int")).drop("k")
+
+
+def index_faults(spark, sf_dir):
+    """Rules that line indexes break: each chunk's as it is and, numbered chunk_id * 10 + k, with the k-th fault."""
+    raw = fields.raw_lines(reads(spark, sf_dir))
+    lines = fields.lines(raw)
+    sizes = lines.groupBy("chunk_id").agg(F.sum("len").alias("size"), (F.count("*") / 4).cast("long").alias("records"), F.min("line").alias("first"), F.max("line").alias("last"))
+    k = F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k")
+    number = (F.col("chunk_id") * 10 + F.col("k")).cast("int")
+    all_ = sizes.select("*", k)
+    rows = fields.line_index(lines).join(sizes, "chunk_id").select("*", k)
+    off = F.expr("case when k = 1 and line = first then off + 1 when k = 2 and line = last + 1 then off - 1 when k = 5 and line = first + 2 then off - len1 else off end")
+    step = F.col("off") - F.lag("off").over(Window.partitionBy("chunk_id", "k").orderBy("line"))
+    rows = rows.withColumn("len1", step).withColumn("off", off).where("not (k = 3 and line = first + 1)")
+    chunks_ = all_.select(number.alias("chunk_id"), F.expr("case when k = 6 then 0 else size end").alias("size"), F.expr("case when k = 4 then records + 1 else records end").alias("records"))
+    return validate.index_errors(rows.select(number.alias("chunk_id"), "line", "off"), chunks_)
 
 
 def plain_sizes(spark, sf_dir):
@@ -130,10 +177,13 @@ QUERIES = {
     "roundtrip_drift": lambda s, d: fields.differences(reads(s, d, drift=True), chunks.decoded(chunks.encoded(reads(s, d, drift=True)))),
     "split_naive": lambda s, d: fields.naive_split(reads(s, d)),
     "container_write_read": lambda s, d: chunks.decoded(stored(s, d)).select(*READS),
-    "container_violations": lambda s, d: container.violations(stored(s, d)),
+    "container_violations": lambda s, d: container.violations(faulty_streams(stored(s, d))),
+    "index_errors": index_faults,
     "container_totals": lambda s, d: workflow.totals(stored(s, d)).select("records", "raw_bytes", (F.col("comp_bytes") < F.col("raw_bytes")).alias("smaller")),
-    "codec_sizes": lambda s, d: workflow.by_stream(stored(s, d)),
-    "ablation": lambda s, d: workflow.ablation(reads(s, d)),
+    "codec_sizes": lambda s, d: workflow.by_stream(stored(s, d)).where("stream not in ('about', 'case', 'rec')").select("stream", "col", "kind", "raw_bytes", (F.col("comp_bytes") > 0).alias("stored")),
+    "codec_report": lambda s, d: workflow.by_stream(stored(s, d)),
+    "ablation": lambda s, d: workflow.ablation(reads(s, d, fixed=True)).select("variant", "codec", "stream", "raw_bytes", (F.col("comp_bytes") < F.col("raw_bytes")).alias("smaller")),
+    "ablation_report": lambda s, d: workflow.ablation(reads(s, d, fixed=True)),
 }
 
 # ---- the oracles
@@ -214,5 +264,10 @@ ORACLE_SQL = {
     "roundtrip_drift": SAME,
     "split_naive": f"{ROWS}, {RAW} select 'identifiers' as stream, cast(sum(strlen(l0) + 1) as bigint) as raw_bytes from raw union all select 'basecalls', cast(sum(strlen(l1) + 1) as bigint) from raw union all select 'plus', cast(sum(strlen(l2) + 1) as bigint) from raw union all select 'quality', cast(sum(strlen(l3) + 1) as bigint) from raw",
     "container_write_read": f"{ROWS} select {', '.join(READS)} from reads",
-    "container_violations": "select cast(0 as int) as chunk_id, '' as rule from events where false",
+    "container_violations": f"{ROWS}, faults as (select unnest({list(STREAM_FAULTS)}) as rule, unnest(range(1, {len(STREAM_FAULTS) + 1})) as k) select cast(c.chunk_id * 100 + k as int) as chunk_id, rule from (select distinct chunk_id from reads) c, faults",
+    "index_errors": f"{ROWS}, faults as (select unnest(['V3', 'V4', 'V5', 'V6', 'V13', 'V1']) as error, unnest(range(1, 7)) as k) select cast(c.chunk_id * 10 + k as int) as chunk_id, error from (select distinct chunk_id from reads) c, faults",
+    "container_totals": f"{ROWS}, sized as (select chunk_id, count(*) as n, sum(strlen(identifier) + strlen(basecalls) + strlen(quality)) as b from reads group by chunk_id) select cast(sum(n) as bigint) as records, cast(sum(b + 4 * (4 * n + 1)) as bigint) as raw_bytes, true as smaller from sized",
+    "codec_sizes": f"{TYPED}, {BASES}, {NS}, n as (select chunk_id, count(*) as n, sum(strlen(basecalls)) as b, sum(strlen(quality)) as q from reads group by chunk_id), sizes as (select 'id_column' as stream, col, kind, sum(strlen(text) + case when kind = 'string' then 4 else 0 end) as raw_bytes from typed group by col, kind union all select 'bases', -1, '', sum(b) from n union all select 'quality', -1, '', sum(q) from n union all select 'line_lengths', -1, '', sum(4 * (4 * n + 1)) from n union all select 'plus', -1, '', sum(n) from n union all select 'n_counts', -1, '', sum(2 * ((b + 8191) // 8192)) from n union all select 'n_positions', -1, '', 2 * (select count(*) from ns)) select stream, cast(col as int) as col, kind, cast(raw_bytes as bigint) as raw_bytes, true as stored from sizes",
+    "id_encoding_choice": f"{DELTAS}, s as (select chunk_id, col, count(*) * 4 as p, cast(sum({SIZE}) as bigint) as v from zz group by chunk_id, col), t as (select chunk_id, col, kind, cast(sum(strlen(text)) as bigint) as text_bytes from typed group by chunk_id, col, kind) select t.chunk_id, t.col, t.kind, case when v < p then 'delta_varint' else 'plain' end as encoding, text_bytes, cast(case when kind = 'string' then text_bytes when v < p then v else p end as bigint) as raw_bytes from t left join s on t.chunk_id = s.chunk_id and t.col = s.col",
+    "ablation": f"with {cte(fixed=True)}, {RAW}, sized as (select 'identifiers' as stream, strlen(l0) + 1 as b from raw union all select 'basecalls', strlen(l1) + 1 from raw union all select 'plus', strlen(l2) + 1 from raw union all select 'quality', strlen(l3) + 1 from raw), streams as (select stream, sum(b) as b from sized group by stream union all select 'all', sum(b) from sized), cases as (select unnest(['raw', 'raw', 'split', 'split', 'full', 'full', 'full_transposed']) as variant, unnest(['bwt', 'zstd', 'bwt', 'zstd', 'bwt', 'zstd', 'zstd']) as codec) select variant, codec, stream, cast(b as bigint) as raw_bytes, true as smaller from cases, streams where stream = 'all' or variant = 'split'",
 }

@@ -16,9 +16,9 @@ N_BLOCK, SAMPLE, SLICE_BYTES = 8192, 100, 16 << 20
 PACK_CODES = {"acgt": "ACGT", "tgca": "TGCA"}
 
 READS = "rec long, chunk_id int, off long, identifier string, basecalls string, plus_kind int, quality string, file string"
-STREAMS = "chunk_id int, stream string, col int, slice int, kind string, encoding string, codec string, n long, raw_bytes long, comp_bytes long, payload binary"
+STREAMS = "chunk_id int, stream string, col int, slice int, kind string, encoding string, codec string, n long, text_bytes long, raw_bytes long, comp_bytes long, payload binary"
 
-#: Records a chunk for tables that have no byte offsets.
-CHUNK_RECORDS = 65536
+#: Streams that every chunk has, and those that are a container's own.
+ALWAYS, OWN = ("about", "bases", "line_lengths", "n_counts", "plus", "quality"), ("about", "case", "rec")
 INT32_MAX = 2147483647
 UINT32_MAX = 4294967295

@@ -126,8 +126,8 @@ def test_index_rules():
     assert validate.check_index(**ok) is None
     for change, rule in (({"last_byte": b"x"}, "V2"), ({"offsets": [1, 2, 4, 6, 8]}, "V3"), ({"offsets": [0, 2, 4, 6, 7]}, "V4"), ({"offsets": [0, 2, 4, 8]}, "V5"), ({"records": 2}, "V6"), ({"offsets": [0, 4, 4, 6, 8]}, "V13")):
         assert validate.check_index(**ok | change) == rule
-    assert validate.check_record([0, 2, 4], [1, 1]) is None
-    assert validate.check_record([0, 3, 4], [1, 1]) == "V12"
+    assert validate.check_records([0, 2, 4], [[1, 1]]) is None
+    assert validate.check_records([0, 3, 4], [[1, 1]]) == "V12"
 
 
 def test_bytes_that_are_no_utf8(spark, tmp_path):
@@ -207,6 +207,57 @@ def test_violations_are_found(spark):
     assert [r.rule for r in container.violations(bad).collect()] == ["packed size"]
 
 
+def test_a_damaged_line_index_stops_the_decoder(spark):
+    import struct
+
+    reads = frame(spark, ["a:1", "a:2"])
+    streams = chunks.encoded(reads, Options(codec="none", quality_codec="none", base_codec="none"))
+    for rule, lengths in (("V12", [0, 5, 5, 2, 5, 5, 5, 6, 5]), ("V3", [1, 5, 5, 2, 5, 5, 5, 5, 5]), ("V13", [0, 5, 5, 0, 5, 5, 5, 5, 5]), ("V6", [0, 5, 5, 2, 5])):
+        data = struct.pack(f"<{len(lengths)}I", *lengths)
+        bad = streams.rdd.map(lambda r, d=data: {**r.asDict(), **({"payload": d, "raw_bytes": len(d), "comp_bytes": len(d)} if r.stream == "line_lengths" else {})})
+        with pytest.raises(Exception, match=rule):
+            chunks.decoded(spark.createDataFrame(bad, streams.schema)).collect()
+
+
+def test_choice_of_encoding_is_the_smallest():
+    import random
+
+    from readloom.functions import codecs, kernels
+
+    rnd = random.Random(3)
+    cases = [[7] * 500, list(range(1000)), [rnd.randrange(1 << 31) for _ in range(300)], [i * i % 997 for i in range(400)], [0], [2147483647, 0] * 50, [rnd.randrange(3) for _ in range(900)]]
+    seen = set()
+    for codec in codecs.NAMES:
+        for v in cases:
+            name, data = chunks.best_encoding(v, codec)
+            d = [b - a for a, b in zip([0, *v], v, strict=False)]
+            plain, delta = b"".join(x.to_bytes(4, "little", signed=True) for x in v), b"".join(((x + 2**31) % 2**32 - 2**31).to_bytes(4, "little", signed=True) for x in d)
+            z, varint = [2 * x if x >= 0 else -2 * x - 1 for x in ((x + 2**31) % 2**32 - 2**31 for x in d)], bytearray()
+            for x in z:
+                while x > 127:
+                    varint.append(x & 127 | 128)
+                    x >>= 7
+                varint.append(x)
+            every = {"plain": plain, "delta": delta, "delta_varint": bytes(varint)}
+            size = {k: len(codecs.compress(x, codec)) for k, x in every.items()}
+            want = "delta_varint" if size["delta_varint"] < min(size["plain"], size["delta"]) else "delta" if size["delta"] < size["plain"] else "plain"
+            assert (name, data) == (want, every[want])
+            assert chunks.decoded_ints(data, name, len(v)).tolist() == v
+            seen.add(name)
+    assert seen == {"plain", "delta", "delta_varint"} and kernels
+
+
+def test_ablation_has_both_codecs_and_transposing_acts(spark):
+    quality = ["".join("FF:,#"[(i * 7 + k * k) % 5] for k in range(40)) for i in range(200)]
+    reads = frame(spark, [f"a:{i}" for i in range(200)], ["ACGT" * 10] * 200, quality)
+    by = {(r.variant, r.codec, r.stream): r for r in workflow.ablation(reads).collect()}
+    assert {k[:2] for k in by} == {("raw", "bwt"), ("raw", "zstd"), ("split", "bwt"), ("split", "zstd"), ("full", "bwt"), ("full", "zstd"), ("full_transposed", "zstd")}
+    whole = by["raw", "zstd", "all"].raw_bytes
+    assert all(r.raw_bytes == whole for k, r in by.items() if k[2] == "all")
+    assert by["full", "zstd", "all"].comp_bytes != by["full_transposed", "zstd", "all"].comp_bytes
+    assert all((r.seconds is None) == k[0].startswith("full") and r.percent == 100 * r.comp_bytes / r.raw_bytes for k, r in by.items())
+
+
 def test_options_are_checked():
     for bad in ({"quality_codec": "x"}, {"pack_order": "gatc"}, {"slice_bytes": 0}):
         with pytest.raises(ValueError):
@@ -228,7 +279,7 @@ def test_headers(spark, tmp_path):
             call()
 
 
-def test_workflow_and_command_line(spark, tmp_path, capsys):
+def test_workflow_and_command_line(spark, tmp_path, capsys, monkeypatch):
     source = put(tmp_path / "r.fq", "".join(record(i, "ACGTN" * 4, plus=f"+R:{i}:x {i * 3}" if i % 3 == 0 else "+") for i in range(50)))
     assert cli.main(["compress", source, str(tmp_path / "c"), "--quality-codec", "zstd", "--stat", "--log-stat", str(tmp_path / "log")], spark) == 0
     assert '"records": 50' in (tmp_path / "log").read_text()
@@ -239,8 +290,15 @@ def test_workflow_and_command_line(spark, tmp_path, capsys):
     assert "PASSED" in capsys.readouterr().out
     assert cli.main(["compress", str(tmp_path / "none"), str(tmp_path / "n")], spark) == 1
     assert container.first_chunk(spark, str(tmp_path / "c")).select("chunk_id").distinct().count() == 1
+    assert '"index_seconds"' in (tmp_path / "log").read_text()
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["compress", "a", "b", "--chunk-bytes", "0"])
+    monkeypatch.setenv("READLOOM_BASE_CODEC", "bwt")
+    monkeypatch.setenv("READLOOM_CHUNK_BYTES", "1000")
+    a = cli.parser().parse_args(["compress", "a", "b"])
+    assert (a.base_codec, a.chunk_bytes) == ("bwt", 1000) and cli.parser().parse_args(["compress", "a", "b", "--base-codec", "none"]).base_codec == "none"
+    monkeypatch.setenv("READLOOM_BASE_CODEC", "x")
+    assert cli.main(["compress", "a", "b"], spark) == 2
 
 
 def test_an_empty_input_makes_a_valid_container(spark, tmp_path):
