@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bz2
+import functools
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -12,14 +13,20 @@ from ..schema import SLICE_BYTES
 NAMES = ("none", "zstd", "bwt")
 
 
+@functools.cache
+def zstd() -> tuple:
+    """A compressor and a decompressor, made once a worker: their tables cost more than a short value."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 def compress(data: bytes, codec: str) -> bytes:
     """bwt: a Burrows-Wheeler codec of the standard library."""
     if codec == "none" or not data:
         return data
     if codec == "zstd":
-        import zstandard
-
-        return zstandard.ZstdCompressor(level=3).compress(data)
+        return zstd()[0].compress(data)
     if codec == "bwt":
         return bz2.compress(data)
     raise ValueError(f"unknown codec {codec!r}; there are {', '.join(NAMES)}")
@@ -29,9 +36,7 @@ def decompress(data: bytes, codec: str, size: int) -> bytes:
     if codec == "none" or not size:
         out = data
     elif codec == "zstd":
-        import zstandard
-
-        out = zstandard.ZstdDecompressor().decompress(data, max_output_size=size)
+        out = zstd()[1].decompress(data, max_output_size=size)
     elif codec == "bwt":
         out = bz2.decompress(data)
     else:

@@ -1,13 +1,7 @@
-"""The container: a folder with streams (Parquet, by chunk) and meta (one row).
-
-Also the fixed header and per-chunk fields of the binary layout that other tools write, for
-reading sizes and settings; its payloads use codecs that are not available here.
-"""
+"""The container: a folder with streams (Parquet, by chunk) and meta (one row)."""
 
 from __future__ import annotations
 
-import struct
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,71 +71,3 @@ def violations(streams: DataFrame) -> DataFrame:
     }
     broken = F.array_compact(F.array(*[F.when(bad | bad.isNull(), F.lit(k)) for k, bad in rules.items()]))
     return by.select("chunk_id", F.explode(broken).alias("rule"))
-
-
-# ---- the binary layout's fixed fields
-# Little-endian fields of a chunk, in order, with the version that brought them.
-HEADER, HEADER_BYTES = "<II", 8
-FIELDS = (
-    "Q records", "Q line_offsets",
-    "B id_mode", "Q id_original", "Q id_separators", "Q id_kinds", "Q id_columns", "Q id_flat_original", "Q id_flat_payload", "Q id_flat_chunks",
-    "Q base_original", "I n_block", "B base_codec", "B pack_order 17", "Q packed_original", "Q packed_payload", "Q packed_chunks", "Q unpacked_chunks",
-    "Q n_counts_original", "Q n_counts_payload", "Q n_positions_original", "Q n_positions_payload", "Q n_position_chunks",
-    "B quality_codec", "B quality_layout", "I quality_fixed_len", "B quality_transposed", "Q quality_original", "Q quality_payload", "Q quality_chunks",
-    "Q line_original", "Q line_payload", "Q line_chunks", "Q plus_kinds 18",
-)
-
-
-def fields_of(version: int) -> list[tuple[str, str]]:
-    return [(f[0], f[1]) for f in map(str.split, FIELDS) if len(f) < 3 or int(f[2]) <= version]
-
-
-def pack_header(version: int = VERSION) -> bytes:
-    return struct.pack(HEADER, MAGIC, version)
-
-
-def unpack_header(data: bytes) -> int:
-    """The version; fails on another magic number, an unknown version or too few bytes."""
-    if len(data) < HEADER_BYTES:
-        raise ValueError("the header is cut short")
-    magic, version = struct.unpack_from(HEADER, data)
-    if magic != MAGIC:
-        raise ValueError("not a container")
-    if version not in VERSIONS:
-        raise ValueError(f"container version {version} is not supported")
-    return version
-
-
-def pack_fields(values: dict[str, int], version: int = VERSION) -> bytes:
-    own = fields_of(version)
-    return struct.pack("<" + "".join(k for k, _ in own), *[values.get(n, 0) for _, n in own])
-
-
-def unpack_fields(data: bytes, version: int = VERSION) -> dict[str, int] | None:
-    """A chunk's fixed fields; None at a clean end, an error within a chunk."""
-    own = fields_of(version)
-    kind = struct.Struct("<" + "".join(k for k, _ in own))
-    if not data:
-        return None
-    if len(data) < kind.size:
-        raise ValueError("a chunk's fields are cut short")
-    return dict(zip([n for _, n in own], kind.unpack_from(data), strict=True))
-
-
-def headers(spark: SparkSession, path: str) -> DataFrame:
-    """path, version and the first chunk's fields of binary containers."""
-    import pandas as pd
-
-    names = [n for _, n in fields_of(VERSION)]
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for p, content in zip(pdf["path"], pdf["content"], strict=True):
-                version = unpack_header(content)
-                got = unpack_fields(bytes(content[HEADER_BYTES :]), version) or {}
-                rows.append((p, version, *(got.get(n) for n in names)))
-            yield pd.DataFrame(rows, columns=["path", "version", *names])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, ", ".join(["path string", "version int", *(f"{n} long" for n in names)]))

@@ -4,7 +4,7 @@ from readloom import cli
 from readloom.operators import chunks, fields, identifiers, validate
 from readloom.operators.chunks import Options
 from readloom.plans import workflow
-from readloom.sources import container, fastq
+from readloom.sources import binary, container, fastq
 
 
 def record(i, seq="ACGTN", qual=None, plus="+"):
@@ -264,17 +264,46 @@ def test_options_are_checked():
             Options(**bad)
 
 
-def test_headers(spark, tmp_path):
+def binary_chunk(records, columnar=True, version=18):
+    columns = [{"kind": 1, "encoding": 2, "text": 9, "original": 12, "payload": 5, "parts": 2, "lengths_original": 0, "lengths_payload": 0, "lengths_parts": 0, "values_of": [2, 3], "lengths_of": []}, {"kind": 0, "encoding": 0, "text": 6, "original": 6, "payload": 4, "parts": 1, "lengths_original": 12, "lengths_payload": 3, "lengths_parts": 1, "values_of": [4], "lengths_of": [3]}] if columnar else []
+    fields_ = {"records": records, "line_offsets": 4 * records + 1, "id_mode": int(columnar), "id_flat_payload": 0 if columnar else 7, "n_block": 8192, "pack_order": 1, "packed_payload": 6, "n_counts_payload": 2, "n_positions_payload": 0, "quality_codec": 1, "quality_layout": 1, "quality_fixed_len": 4, "quality_payload": 8, "line_payload": 9}
+    payloads = [b"F" * fields_["id_flat_payload"], *([b"v" * 5, b"", b"w" * 4, b"l" * 3] if columnar else []), b"P" * 6, b"nc", b"", b"q" * 8, b"i" * 9]
+    return binary.pack_chunk({"fields": fields_, "separators": [":", " "][:1] if columnar else [], "kinds": [1, 0] if columnar else [], "columns": columns, "flat_parts": [] if columnar else [3, 4], "tables": [[6], [9], [], [8], [16], [4, 5]], "plus": bytes(k % 2 for k in range(records)), "payloads": payloads}, version)
+
+
+def test_binary_containers(spark, tmp_path):
+    for version in (16, 17, 18):
+        put(tmp_path / f"v{version}.bin", binary.pack_header(version) + binary_chunk(3, True, version) + binary_chunk(2, False, version) + binary_chunk(0, True, version))
+    put(tmp_path / "empty.bin", binary.pack_header())
+    got = {(r.version, r.chunk): r for r in binary.chunks(spark, str(tmp_path)).collect()}
+    assert set(got) == {(v, k) for v in (16, 17, 18) for k in range(3)}
+    data = (tmp_path / "v18.bin").read_bytes()
+    for (version, k), r in got.items():
+        assert (r.records, r.id_mode) == ((3, 2, 0)[k], "flat" if k == 1 else "columnar")
+        assert r.separators == ([] if k == 1 else [":"]) and r.kinds == ([] if k == 1 else ["int32", "string"])
+        assert [(c.kind, c.encoding, c.text) for c in r.columns] == ([] if k == 1 else [("int32", "delta_varint", 9), ("string", "plain", 6)])
+        assert (r.pack_order, r.quality_codec, r.quality_layout, r.quality_fixed_len, r.transposed) == ("tgca", "zstd", "fixed", 4, False)
+        assert (r.bare_plus, r.copied_plus) == ((r.records, 0) if version < 18 else ((2, 1), (1, 1), (0, 0))[k])
+        if version == 18:
+            of = {s.name: (data[s.at : s.at + s.bytes], s.parts) for s in r.streams}
+            assert of["packed"] == (b"P" * 6, [6]) and of["line_lengths"] == (b"i" * 9, [4, 5]) and of["quality"][0] == b"q" * 8 and of["n_counts"] == (b"nc", [2])
+            assert of["id_flat"] == ((b"F" * 7, [3, 4]) if k == 1 else (b"", []))
+            assert k == 1 or (of["id_values 0"] == (b"v" * 5, [2, 3]) and of["id_lengths 1"] == (b"l" * 3, [3]))
+    whole = binary.pack_header() + binary_chunk(3)
+    for n in (9, 100, 240, 300, len(whole) - 1):
+        with pytest.raises(Exception, match="cut short"):
+            binary.chunks(spark, put(tmp_path / "cut.bin", whole[:n])).collect()
+
+
+def test_headers():
     values = {"records": 3, "n_block": 8192, "plus_kinds": 3}
     for version, size in ((16, 213), (17, 214), (18, 222)):
-        data = container.pack_fields(values, version)
+        data = binary.pack_fields(values, version)
         assert len(data) == size
-        got = container.unpack_fields(data, version)
+        got = binary.unpack_fields(data, version)
         assert got["records"] == 3 and got["n_block"] == 8192
-        put(tmp_path / f"v{version}.bin", container.pack_header(version) + data)
-    assert [r.version for r in container.headers(spark, str(tmp_path)).orderBy("version").collect()] == [16, 17, 18]
-    assert container.unpack_fields(b"") is None
-    for call in (lambda: container.unpack_header(b"1234"), lambda: container.unpack_header(b"12345678"), lambda: container.unpack_header(container.pack_header(15)), lambda: container.unpack_fields(b"abc")):
+    assert binary.unpack_fields(b"") is None
+    for call in (lambda: binary.unpack_header(b"1234"), lambda: binary.unpack_header(b"12345678"), lambda: binary.unpack_header(binary.pack_header(15)), lambda: binary.unpack_fields(b"abc")):
         with pytest.raises(ValueError):
             call()
 

@@ -108,3 +108,15 @@ def test_compressed_columns(spark):
     back = c.withColumn("d", codecs.decompressed(F.col("c"), F.coalesce(F.octet_length("b"), F.lit(0)), "zstd"))
     assert back.where("d <=> b").count() == 2
     assert c.where("length(c) < 400").count() == 1
+
+
+def test_shared_folders_are_cleared(spark):
+    import os
+
+    from readloom import storage
+
+    path = storage.shared_dir(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path)
+    storage.clear(spark)
+    assert not os.path.isdir(path)
