@@ -41,7 +41,7 @@ def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 class HashOf(dict):
     """word -> 64-bit hash, remembered. clear_if_large() bounds the memory; no result depends on it."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: str) -> int:
         self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))

@@ -9,12 +9,13 @@ classes are linked if their Jaccard similarity is `THRESHOLD` or more.
    At the threshold a pair misses all of the 24 bands with probability 3e-6.
 3. In a bucket, pairs are compared by a few MinHash values at a time; a pair is dropped as
    soon as the posterior probability that it reaches the threshold (uniform prior) is
-   below `TOLERANCE`. A bucket over `BLOCK` classes is cut into blocks by hash, and each
-   pair of blocks is a task's group: every pair is compared, none is emitted; a group
-   gives the edges of a spanning forest of what stays.
+   below `TOLERANCE`. A bucket over `BUCKET_BLOCK` classes is cut into blocks by hash, and
+   each pair of blocks is a task's group. A group of more than `SMALL` gives an edge from each member to the
+   least of its tree, and pairs that a tree already joins are passed over, so a bucket of
+   near copies costs few comparisons more than it has members, and no node many edges.
 4. Connected components of that (alternating stars; tables, nothing on the driver) hold
    all links. Within a component, again by pairs of blocks, exact Jaccard similarities
-   of all pairs give each class's number of links and a spanning forest of the links.
+   of all pairs give each class's number of links and the trees of the links.
 5. Components of the links are the near-duplicate classes.
 
 Class keys are 64 bits of the digest; the other 64 are checked, and on a collision all is
@@ -35,7 +36,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 from .decontaminate import WORD
@@ -43,7 +43,8 @@ from .decontaminate import WORD
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS = 24, 4
 HASHES, STEP = BANDS * ROWS, 16
-BLOCK, BLOCK_SHINGLES = 256, 2_000_000
+#: Classes of a bucket, and classes and shingles of a component, that one task compares with as many others.
+BUCKET_BLOCK, BLOCK, BLOCK_SHINGLES = 512, 256, 1_000_000
 COLUMNS, SMALL = 8192, 12
 
 
@@ -83,11 +84,17 @@ def least_matches(t: float = THRESHOLD, tolerance: float = TOLERANCE) -> dict[in
     return out
 
 
-FEATURES = "doc_id long, node long, rest long, n long, sig binary"
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id, th (a hash of the text) and text: with doc_id, th leads from a row's features back to it."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+FEATURES = "doc_id long, th long, node long, rest long, n long, sig binary"
 
 
 def features(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """doc_id, the class key (two halves), the number of shingles and MinHash values of each row."""
+    """doc_id, a hash of the text, the class key (two halves), the number of shingles and MinHash values of each row."""
 
     def task(batches):
         hashes, by = common.HashOf(), multipliers()
@@ -95,16 +102,16 @@ def features(docs: DataFrame, seed: int = 0) -> DataFrame:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 node, rest, n, sig = [], [], [], []
-                for text in b.column(1).to_pylist():
+                for text in b.column(2).to_pylist():
                     x = shingles(text, hashes, seed)
                     d = xxhash.xxh128_digest(x.tobytes(), seed)
                     node.append(int.from_bytes(d[:8], "little", signed=True))
                     rest.append(int.from_bytes(d[8:], "little", signed=True))
                     n.append(len(x))
                     sig.append(signature(x, by).tobytes() if len(x) else b"")
-                yield pa.record_batch([b.column(0), *(pa.array(v, pa.int64()) for v in (node, rest, n)), pa.array(sig, pa.binary())], names=["doc_id", "node", "rest", "n", "sig"])
+                yield pa.record_batch([b.column(0), b.column(1), *(pa.array(v, pa.int64()) for v in (node, rest, n)), pa.array(sig, pa.binary())], names=["doc_id", "th", "node", "rest", "n", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, FEATURES)
+    return texts_of(docs).mapInArrow(task, FEATURES)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -148,9 +155,12 @@ class Forest:
         return i != j
 
 
-def spanning(pairs: tuple[np.ndarray, np.ndarray], n: int) -> list[tuple[int, int]]:
-    f = Forest(n)
-    return [(i, j) for i, j in zip(pairs[0].tolist(), pairs[1].tolist(), strict=True) if f.join(i, j)]
+def stars(pairs: tuple[np.ndarray, np.ndarray], nodes: list[int]) -> list[tuple[int, int]]:
+    """(node, least node of its tree) for the trees that the pairs, places in the sorted nodes, make: no node has many edges to lesser ones."""
+    f = Forest(len(nodes))
+    for i, j in zip(pairs[0].tolist(), pairs[1].tolist(), strict=True):
+        f.join(i, j)
+    return [(nodes[i], nodes[r]) for i in range(len(nodes)) if (r := f.root(i)) != i]
 
 
 def likely(sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: dict[int, int]) -> np.ndarray:
@@ -167,7 +177,7 @@ def likely(sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: dict[int, int])
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) of spanning forests of the pairs that Bayesian pruning leaves."""
+    """Edges (a, b) that connect what the pairs left by Bayesian pruning connect; a large group gives one from each node to the least of its tree."""
 
     def band(batches):
         salt = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(common.STEP)
@@ -177,9 +187,10 @@ def candidates(classes: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["key", "node"])
 
     some = classes.where("n > 0").select("node", "sig")
-    bands = some.mapInArrow(band, "key long, node long")
-    full = bands.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
-    met = dealt(bands.join(full, "key"), "key", F.ceil(F.col("rows") / BLOCK), "node")
+    bands = common.keep(some.mapInArrow(band, "key long, node long"), "bands")
+    # stored, so that the join has two plain inputs: the rows of one bucket are split among tasks
+    full = common.keep(bands.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "full")
+    met = dealt(bands.join(full, "key"), "key", F.ceil(F.col("rows") / BUCKET_BLOCK), "node")
     ready = met.join(some, "node").select("key", "pair", "block", "node", "sig")
     least = least_matches()
 
@@ -200,14 +211,21 @@ def candidates(classes: DataFrame) -> DataFrame:
                     a.append(node[x[live]])
                     b.append(node[y[live]])
             for lo, s in zip(at[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-                f = Forest(s)
-                for i in range(lo, lo + s - 1):
-                    y = np.arange(i + 1, lo + s)
-                    x = np.full(len(y), i)
+                tree = np.arange(s)  # members of one tree need not be compared
+                for i in range(s - 1):
+                    y = lo + i + 1 + np.flatnonzero(tree[i + 1 :] != tree[i])
+                    if not len(y):
+                        continue
+                    x = np.full(len(y), lo + i)
                     x, y = x[ok := wanted(x, y, block, first, second)], y[ok]
-                    got = [q for q in (y[likely(sig, x, y, least)] - lo).tolist() if f.join(i - lo, q)]
-                    a.append(np.full(len(got), node[i]))
-                    b.append(node[lo + np.array(got, np.int64)])
+                    near = y[likely(sig, x, y, least)] - lo
+                    tree[np.isin(tree, tree[near])] = tree[i]
+                of = node[lo : lo + s]
+                top = np.full(s, np.iinfo(np.int64).max)
+                np.minimum.at(top, tree, of)
+                low = top[tree]
+                a.append(of[of != low])
+                b.append(low[of != low])
             if a:
                 yield pa.record_batch([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
 
@@ -241,7 +259,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(e)
     while before[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # stored, so that the join has two plain inputs: a node with very many edges is split among tasks
+        # stored, so that the join has two plain inputs: a node with very many greater neighbours is split among tasks
         low = common.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m")), "least")
         large = e.join(low, "b").select("a", F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -256,23 +274,33 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.union(labels.select("label", "label").distinct())
 
 
-def verified(members: DataFrame, seed: int) -> DataFrame:
-    """From (label, node, n, text): rows (a, b, links): b null: links of class a; else an edge of a spanning forest."""
-    sums = members.groupBy("label").agg(F.count("*").alias("rows"), F.sum("n").alias("all"))
-    blocks = F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("all") / BLOCK_SHINGLES))
-    ready = dealt(members.join(sums, "label"), "label", blocks, "node").select("label", "pair", "block", "node", "text")
+def sets_of(members: DataFrame, seed: int) -> DataFrame:
+    """label, node and set (its shingles, 8 bytes each) from (label, node, text): each text is cut once, before it is dealt out."""
 
     def task(batches):
         hashes = common.HashOf()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                found = [shingles(text, hashes, seed) for text in b.column(2).to_pylist()]
+                yield pa.record_batch([b.column(0), b.column(1), pa.array([x.tobytes() for x in found], pa.binary())], names=["label", "node", "set"])
+
+    return members.select("label", "node", "text").mapInArrow(task, "label long, node long, set binary")
+
+
+def verified(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """From stored (label, node, n) and their sets: rows (a, b, links): b null: links of class a; else an edge to the least node of a tree of links."""
+    sums = common.keep(members.groupBy("label").agg(F.count("*").alias("rows"), F.sum("n").alias("all")), "sums")
+    blocks = F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("all") / BLOCK_SHINGLES))
+    ready = dealt(sets.join(sums, "label"), "label", blocks, "node").select("label", "pair", "block", "node", "set")
+
+    def task(batches):
         for t, at in grouped(batches, 2):
             a, b, links = [], [], []
             for lo, hi in zip(at, np.append(at[1:], t.num_rows), strict=True):
                 part = t.slice(int(lo), int(hi - lo))
-                pair, seen = part.column(1)[0].as_py(), {}
-                for block, node, text in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
-                    x = shingles(text, hashes, seed)
-                    if int.from_bytes(xxhash.xxh128_digest(x.tobytes(), seed)[:8], "little", signed=True) == node:
-                        seen[node] = (block, x)
+                pair = part.column(1)[0].as_py()
+                seen = {node: (block, np.frombuffer(x, np.uint64)) for block, node, x in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True)}
                 nodes = sorted(seen)
                 hit = similar([seen[k][1] for k in nodes])
                 if pair >> 32 != pair & 0xFFFFFFFF:
@@ -282,9 +310,9 @@ def verified(members: DataFrame, seed: int) -> DataFrame:
                     a.append(k)
                     b.append(None)
                     links.append(n)
-                for i, j in spanning(np.nonzero(np.triu(hit, 1)), len(nodes)):
-                    a.append(nodes[i])
-                    b.append(nodes[j])
+                for i, j in stars(np.nonzero(np.triu(hit, 1)), nodes):
+                    a.append(i)
+                    b.append(j)
                     links.append(0)
             yield pa.record_batch([pa.array(v, pa.int64()) for v in (a, b, links)], names=["a", "b", "links"])
 
@@ -316,16 +344,18 @@ def similar(sets: list[np.ndarray], t: float = THRESHOLD) -> np.ndarray:
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """One row a class: node, doc_id (the least), rows, n, sig, and whether its key is of one class alone."""
-    return rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sig").alias("sig"), (F.min("rest") != F.max("rest")).alias("mixed"))
+    """One row a class: node, doc_id (the least) and th of a row with it, rows, n, sig, and whether its key is of one class alone."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("least")
+    by = rows.groupBy("node").agg(least, F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sig").alias("sig"), (F.min("rest") != F.max("rest")).alias("mixed"))
+    return by.select("node", "least.doc_id", "least.th", "rows", "n", "sig", "mixed")
 
 
-def join(docs: DataFrame) -> tuple[DataFrame, int]:
-    """A table, and the seed of its keys: doc_id, node (key of the shingle set), class_id, n_links, copies, first of each row, stored.
+def join(docs: DataFrame) -> DataFrame:
+    """A row for each of docs, stored: doc_id, th, class_id, n_links, copies, stays.
 
     class_id: the least doc_id of all near copies; n_links: other texts (classes) linked with
-    this one; copies: other rows with the same shingles; first: the node has the least
-    (doc_id, node) of all near copies, nulls last.
+    this one; copies: other rows with the same shingles; stays: the row has the least (doc_id,
+    th) of all near copies, nulls last, or no words.
     """
     seed = 0
     while True:
@@ -335,60 +365,46 @@ def join(docs: DataFrame) -> tuple[DataFrame, int]:
             break
         seed += 1
     near = components(candidates(classes))
-    members = near.join(classes.select("node", "n", "doc_id"), "node")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    members = members.withColumnRenamed("doc_id", "id").join(text, F.col("id").eqNullSafe(text.doc_id)).select("label", "node", "n", "text")
-    found = common.keep(verified(members, seed), "links")
+    members = common.keep(near.join(classes.select("node", "n", "doc_id", "th"), "node").select("label", "node", "n", F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "members")
+    text = texts_of(docs)
+    # merged at every size, as the members grow with the documents
+    met = text.join(members.hint("merge"), F.col("__id").eqNullSafe(text.doc_id) & (F.col("__th") == text.th)).select("label", "node", "text")
+    if not rows.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        met = met.dropDuplicates(["node"])  # equal rows
+    found = common.keep(verified(members, sets_of(met, seed)), "links")
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     labels = components(found.where("b is not null").select("a", "b"))
-    linked = labels.join(classes.select("node", "doc_id"), "node")
-    first = F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node"))
-    least = linked.groupBy("label").agg(F.min("doc_id").alias("class_id"), first.alias("first_node"))
-    result = labels.join(least, "label").join(links, "node").select("node", "class_id", "n_links", "first_node")
-    result = classes.select("node", F.col("doc_id").alias("own"), F.col("rows")).join(result, "node", "left")
-    result = result.select("node", (F.coalesce("first_node", "node") == F.col("node")).alias("first"), F.coalesce("class_id", "own").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("rows") - 1).alias("copies"))
-    none = rows.where("n = 0").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("copies"), F.lit(True).alias("first"))
-    some = rows.where("n > 0").select("doc_id", "node").join(result, "node").select("doc_id", "node", "class_id", "n_links", "copies", "first")
-    return some.union(none), seed
-
-
-def keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """docs and __node, __n: each row's class key and number of shingles."""
-    schema = StructType([*docs.schema.fields, StructField("__node", LongType()), StructField("__n", LongType())])
-    at = docs.columns.index("text")
-
-    def task(batches):
-        hashes = common.HashOf()
-        for b in batches:
-            sets = [shingles(text, hashes, seed) for text in b.column(at).cast(pa.string()).to_pylist()]
-            node = [int.from_bytes(xxhash.xxh128_digest(x.tobytes(), seed)[:8], "little", signed=True) for x in sets]
-            yield pa.record_batch([*b.columns, pa.array(node, pa.int64()), pa.array([len(x) for x in sets], pa.int64())], names=schema.names)
-
-    return docs.mapInArrow(task, schema)
+    linked = labels.join(classes.select("node", "doc_id", "th"), "node")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    least = linked.groupBy("label").agg(first.alias("least"))
+    result = labels.join(least, "label").join(links, "node").select("node", F.col("least.doc_id").alias("class_id"), "n_links", F.struct("least.doc_id", "least.th").alias("one"))
+    own = classes.select("node", F.struct("doc_id", "th").alias("own"), F.col("rows"))
+    result = own.join(result, "node", "left").select("node", F.coalesce("one", "own").alias("one"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("rows") - 1).alias("copies"))
+    # stored, so that the join has two plain inputs: the rows of one class are split among tasks
+    some = rows.where("n > 0").select("doc_id", "th", "node").join(common.keep(result, "classes"), "node")
+    some = some.select("doc_id", "th", F.col("one.doc_id").alias("class_id"), "n_links", "copies", (F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("th") == F.col("one.th"))).alias("stays"))
+    none = rows.where("n = 0").select("doc_id", "th", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("copies"), F.lit(True).alias("stays"))
+    return some.union(none)
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """docs, in its own columns, with one row of each near-duplicate class: that of least doc_id.
+    """docs, in its own columns, with one row of each near-duplicate class: that of least (doc_id, hash of the text).
 
-    Rows without words stay. Rows are told apart by doc_id; only where a doc_id repeats, by their class key too.
-    Of near texts with one doc_id, or all with a null one, that of least key stays.
+    Rows without words stay. Of equal rows with that doc_id and text one stays.
     """
-    joined, seed = join(docs)
-    seen = common.keep(joined, "joined")
-    repeated = common.keep(seen.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id")), "repeated")
-    stay = seen.where(F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct()
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
-    if repeated.isEmpty():
+    stay = join(docs).where("stays").groupBy("doc_id", "th").agg(F.count("*").alias("n"), F.max("copies").alias("copies"))
+    stay = common.keep(stay.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), ((F.col("n") > 1) & (F.col("copies") > 0)).alias("__many")), "stay")
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__th"))
+    many = stay.where("__many")
+    if many.isEmpty():
         return docs.join(stay, own, "left_semi")
-    once = docs.join(repeated, own, "left_anti").join(stay, own, "left_semi")
-    many = keyed(docs.join(repeated, own, "left_semi"), seed)
-    kept = stay.withColumnRenamed("__node", "__of")
-    one = many.where("__n > 0").join(kept, own & (F.col("__node") == F.col("__of")), "left_semi").dropDuplicates(["doc_id", "__node"])
-    return once.union(one.union(many.where("__n = 0")).drop("__node", "__n"))
+    once = docs.join(stay.where(~F.col("__many")), own, "left_semi")
+    one = docs.join(many, own, "left_semi").withColumn("__th", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "__th"])
+    return once.union(one.drop("__th"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    return join(common.table(spark, sf_dir, "documents"))[0].drop("node", "first")
+    return join(common.table(spark, sf_dir, "documents")).drop("th", "stays")
 
 
 #: doc_id, class_id, n_links and copies in DuckDB's SQL, by comparing all sets that share a shingle.

@@ -477,7 +477,7 @@ def near_classes(rows, t=0.8):
 
 
 def test_op9(spark, tables, docs, monkeypatch):
-    got = jaccard_join.join(docs)[0].select("doc_id", "class_id", "n_links", "copies")
+    got = jaccard_join.join(docs).select("doc_id", "class_id", "n_links", "copies")
     assert Counter(map(tuple, got.collect())) == Counter(near_classes(ROWS))
     left = jaccard_join.first_of_each(docs)
     assert left.columns == docs.columns
@@ -497,8 +497,10 @@ def test_op9_groups_larger_than_a_block(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     rows += [(100 + i, words(40, rnd)) for i in range(20)]
     monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    monkeypatch.setattr(jaccard_join, "BUCKET_BLOCK", 9)
+    monkeypatch.setattr(jaccard_join, "SMALL", 4)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = jaccard_join.join(df)[0].select("doc_id", "class_id", "n_links", "copies")
+    got = jaccard_join.join(df).select("doc_id", "class_id", "n_links", "copies")
     assert Counter(map(tuple, got.collect())) == Counter(near_classes(rows))
 
 
