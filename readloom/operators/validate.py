@@ -22,9 +22,9 @@ MESSAGES = {
 }
 
 
-def error(l0: Column, l1: Column, l2: Column, l3: Column) -> Column:
+def error(l0: Column, l1: Column, l2: Column, l3: Column, longest: int = UINT32_MAX) -> Column:
     """The rule that the record breaks first, in the order in which a parser meets them."""
-    long = F.greatest(*[F.octet_length(x) for x in (l0, l1, l2, l3)]) > F.lit(UINT32_MAX)
+    long = F.greatest(*[F.octet_length(x) for x in (l0, l1, l2, l3)]) > F.lit(longest)
     return (
         F.when(~l0.startswith("@"), "V7")
         .when(~l2.startswith("+"), "V8")
@@ -36,9 +36,9 @@ def error(l0: Column, l1: Column, l2: Column, l3: Column) -> Column:
     )
 
 
-def checked(lines: DataFrame) -> DataFrame:
+def checked(lines: DataFrame, longest: int = UINT32_MAX) -> DataFrame:
     """lines (rec, l0..l3) and error."""
-    return lines.withColumn("error", error(*[F.col(c) for c in LINES]))
+    return lines.withColumn("error", error(*[F.col(c) for c in LINES], longest))
 
 
 def parsed(lines: DataFrame, mode: str = "strict", also: tuple[str, ...] = ()) -> DataFrame:

@@ -121,6 +121,11 @@ def test_long_records_and_several_blocks(spark, tmp_path, monkeypatch):
     assert "".join(f"{r['l0']}\n{r['l1']}\n{r['l2']}\n{r['l3']}\n" for r in got) == text and sum(r["bytes"] for r in got) == len(text)
 
 
+def test_lines_beyond_the_limit(spark):
+    raw = spark.createDataFrame([(0, "@a", "ACGT", "+", "IIII"), (1, "@a", "ACGTA", "+", "IIIII")], "rec long, l0 string, l1 string, l2 string, l3 string")
+    assert [(r.rec, r.error) for r in validate.checked(raw, 4).collect()] == [(0, None), (1, "V14")]
+
+
 def test_index_rules():
     ok = dict(offsets=[0, 2, 4, 6, 8], size=8, records=1, last_byte=b"\n")
     assert validate.check_index(**ok) is None
