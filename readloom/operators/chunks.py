@@ -80,7 +80,7 @@ def encoded(reads: DataFrame, options: Options | None = None) -> DataFrame:
         rows: dict[str, list] = {n: [] for n in encode.arrow(STREAMS).names}
 
         def put(stream: str, data: bytes, codec: str, n: int, col: int = -1, kind: str = "", encoding: str = "plain", text: int = 0) -> None:
-            for k, part in enumerate(codecs.slices(data, o.slice_bytes) or [b""]):
+            for k, part in enumerate([data] if stream == "about" else codecs.slices(data, o.slice_bytes) or [b""]):
                 packed = codecs.compress(part, codec)
                 for name, v in zip(rows, (key[0], stream, col, k, kind, encoding, codec, n, 0 if k else text, len(part), len(packed), packed), strict=True):
                     rows[name].append(v)
