@@ -11,7 +11,7 @@ emissions are averaged, weighted towards each window's middle, and one Viterbi p
 found over each unbroken stretch of windows, so that a span is decided once. Added spans
 that overlap a base span are dropped.
 
-The model (about 20 KB) is trained on the driver once a session and broadcast. Texts
+The model (about 20 KB) is trained on the driver, kept in the shared folder and broadcast. Texts
 without a trigger are passed over by a linear-time scan of the whole text. No shuffle.
 
 Edge cases: null is an empty text; both have no spans. Repeated rows each get their row.
@@ -22,6 +22,7 @@ of `PART` windows, which is where memory is bounded; parts overlap by a window.
 from __future__ import annotations
 
 import functools
+import hashlib
 import random
 import re
 
@@ -32,13 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .. import storage
 from . import common
 from .secret_scan import joined
 
-# The base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The base patterns, in forms that read each character a bounded number of times. An e-mail's local part is
+# read backwards from its @; an IP's numbers and a card's digits are taken whole, as giving some back can't help.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 
@@ -47,7 +51,7 @@ TRIGGERS = re.compile(TRIGGER)
 WINDOW, STRIDE, PART = 128, 64, 2048
 TAGS = 1 + 2 * len(KINDS)  # 0: outside; 1 + 2k: begin of kind k; 2 + 2k: inside
 HIDDEN, EMBED, SYMBOLS = 16, 12, 100
-EXAMPLES, EPOCHS, BATCH, SEED, LEAST = 2400, 9, 48, 3, 7
+EXAMPLES, EPOCHS, BATCH, RATE, SEED, LEAST = 2400, 9, 48, 0.012, 3, 7
 
 
 def luhn(digits: str) -> bool:
@@ -58,11 +62,25 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each e-mail address: for each @ the characters before it as far as they may be, after the last match."""
+    out, end, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            end = m.end()
+            out.append((start, end))
+        at = text.find("@", at + 1)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end)."""
     digits = lambda m: re.sub("[^0-9]", "", m[0])
-    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)] if "@" in text else []
-    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out = [(a, 0, b) for a, b in emails(text)]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
     out += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 14 <= len(d := digits(m)) <= 19 and luhn(d)]
     return out + ([(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 10 <= len(digits(m)) <= 15] if "+" in text else [])
 
@@ -150,32 +168,35 @@ class Model:
             self.p |= {f"W{d}": r.normal(0, 0.3, (EMBED, 4 * HIDDEN)), f"U{d}": r.normal(0, 0.3, (HIDDEN, 4 * HIDDEN)), f"b{d}": np.concatenate([np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)])}
         self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
 
-    def states(self, x: np.ndarray, d: str, trace: list | None = None) -> np.ndarray:
-        """Hidden states (batch, time, HIDDEN) of one direction, for x in reading order of that direction."""
-        z_of, u = self.p["E"] @ self.p[f"W{d}"] + self.p[f"b{d}"], self.p[f"U{d}"]
+    def states(self, x: np.ndarray, trace: list | None = None) -> np.ndarray:
+        """Hidden states (direction, batch, time, HIDDEN), both directions in their own reading order, moved together."""
+        p, both = self.p, np.arange(2)[:, None]
+        z_of, u = np.stack([p["E"] @ p[f"W{d}"] + p[f"b{d}"] for d in "fb"]), np.stack([p["Uf"], p["Ub"]])
+        xs = np.stack([x, x[:, ::-1]])
         n, steps = x.shape
-        h = c = np.zeros((n, HIDDEN), np.float32)
-        out = np.empty((steps, n, HIDDEN), np.float32)
+        h = c = np.zeros((2, n, HIDDEN), np.float32)
+        out = np.empty((steps, 2, n, HIDDEN), np.float32)
         for t in range(steps):
-            z = z_of[x[:, t]] + h @ u
-            s = sigmoid(z[:, : 3 * HIDDEN])
-            i, f, o, g = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
+            z = z_of[both, xs[:, :, t]]
+            z += h @ u
+            s = sigmoid(z[:, :, : 3 * HIDDEN])
+            i, f, o, g = s[:, :, :HIDDEN], s[:, :, HIDDEN : 2 * HIDDEN], s[:, :, 2 * HIDDEN :], np.tanh(z[:, :, 3 * HIDDEN :])
             before, c = c, f * c + i * g
             q = np.tanh(c)
             if trace is not None:
                 trace.append((h, before, i, f, o, g, q))
             h = out[t] = o * q
-        return out.transpose(1, 0, 2)
+        return out.transpose(1, 2, 0, 3)
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        h = np.concatenate([self.states(x, "f"), self.states(x[:, ::-1], "b")[:, ::-1]], 2)
-        return h @ self.p["V"] + self.p["v"]
+        h = self.states(x)
+        return np.concatenate([h[0], h[1][:, ::-1]], 2) @ self.p["V"] + self.p["v"]
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         p, (n, steps) = self.p, x.shape
-        trace: dict[str, list] = {"f": [], "b": []}
-        hs = {"f": self.states(x, "f", trace["f"]), "b": self.states(x[:, ::-1], "b", trace["b"])[:, ::-1]}
-        h = np.concatenate([hs["f"], hs["b"]], 2)
+        trace: list = []
+        hs = self.states(x, trace)
+        h = np.concatenate([hs[0], hs[1][:, ::-1]], 2)
         e, a = h @ p["V"] + p["v"], p["A"]
         # CRF: forward and backward in scaled probabilities
         ex, ea = np.exp(e - e.max(2, keepdims=True)), np.exp(a)
@@ -191,51 +212,55 @@ class Model:
         de[rows, times, y] -= 1
         right = beta[:, 1:] * ex[:, 1:] / norm[:, 1:, None]
         da = ea * np.einsum("nti,ntj->ij", alpha[:, :-1], right)
-        np.subtract.at(da, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
+        da -= np.bincount((y[:, :-1] * TAGS + y[:, 1:]).ravel(), minlength=TAGS * TAGS).reshape(TAGS, TAGS)
         gold = e[rows, times, y].sum() + a[y[:, :-1], y[:, 1:]].sum()
         loss = float((np.log(norm).sum() + e.max(2).sum() - gold) / n)
         g = {k: np.zeros_like(v) for k, v in p.items()}
         de /= n
         g["A"], g["v"], g["V"] = da / n, de.sum((0, 1)), np.einsum("nth,ntk->hk", h, de)
         dh = de @ p["V"].T
-        for d, part, xs in (("f", dh[:, :, :HIDDEN], x), ("b", dh[:, ::-1, HIDDEN:], x[:, ::-1])):
-            u, w = p[f"U{d}"], p[f"W{d}"]
-            back_h = back_c = np.zeros((n, HIDDEN), np.float32)
-            dz = np.empty((steps, n, 4 * HIDDEN), np.float32)
-            for t in range(steps - 1, -1, -1):
-                before_h, before_c, i, f, o, gg, q = trace[d][t]
-                grad = part[:, t] + back_h
-                c = back_c + grad * o * (1 - q * q)
-                z = np.concatenate([c * gg * i * (1 - i), c * before_c * f * (1 - f), grad * q * o * (1 - o), c * i * (1 - gg * gg)], 1)
-                g[f"U{d}"] += before_h.T @ z
-                dz[t], back_h, back_c = z, z @ u.T, c * f
-            flat, seen = dz.transpose(1, 0, 2).reshape(-1, 4 * HIDDEN), xs.ravel()
-            g[f"b{d}"] = flat.sum(0)
+        parts = np.stack([dh[:, :, :HIDDEN], dh[:, ::-1, HIDDEN:]])
+        u = np.stack([p["Uf"].T, p["Ub"].T])
+        back_h = back_c = np.zeros((2, n, HIDDEN), np.float32)
+        dz = np.empty((steps, 2, n, 4 * HIDDEN), np.float32)
+        du = np.zeros((2, HIDDEN, 4 * HIDDEN), np.float32)
+        for t in range(steps - 1, -1, -1):
+            before_h, before_c, i, f, o, gg, q = trace[t]
+            grad = parts[:, :, t] + back_h
+            c = back_c + grad * o * (1 - q * q)
+            z = np.concatenate([c * gg * i * (1 - i), c * before_c * f * (1 - f), grad * q * o * (1 - o), c * i * (1 - gg * gg)], 2)
+            du += before_h.transpose(0, 2, 1) @ z
+            dz[t], back_h, back_c = z, z @ u, c * f
+        for k, d in enumerate("fb"):
+            flat, seen = dz[:, k].transpose(1, 0, 2).reshape(-1, 4 * HIDDEN), (x if d == "f" else x[:, ::-1]).ravel()
+            g[f"U{d}"], g[f"b{d}"] = du[k], flat.sum(0)
+            order = np.argsort(seen, kind="stable")
+            first = np.flatnonzero(np.diff(seen[order], prepend=-1))
             by = np.zeros((SYMBOLS, 4 * HIDDEN), np.float32)
-            np.add.at(by, seen, flat)
+            by[seen[order][first]] = np.add.reduceat(flat[order], first)
             g[f"W{d}"] = p["E"].T @ by
-            g["E"] += by @ w.T
+            g["E"] += by @ p[f"W{d}"].T
         return loss, g
 
 
-def train(labelled: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = EPOCHS, seed: int = SEED) -> Model:
+def train(labelled: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = EPOCHS, seed: int = SEED, batch: int = BATCH, rate: float = RATE) -> Model:
     """A model from texts of one length and their spans (start, kind, end)."""
     m, r = Model(seed), np.random.default_rng(seed)
     x = np.stack([symbols(t) for t, _ in labelled])
     y = np.stack([tags(len(t), s) for t, s in labelled])
     mean, square, step = {k: 0.0 for k in m.p}, {k: 0.0 for k in m.p}, 0
-    total = epochs * -(-len(x) // BATCH)
+    total = epochs * -(-len(x) // batch)
     for _ in range(epochs):
         order = r.permutation(len(x))
-        for at in range(0, len(x), BATCH):
-            _, g = m.gradients(x[order[at : at + BATCH]], y[order[at : at + BATCH]])
+        for at in range(0, len(x), batch):
+            _, g = m.gradients(x[order[at : at + batch]], y[order[at : at + batch]])
             scale = min(1.0, 5.0 / (1e-6 + float(np.sqrt(sum((v * v).sum() for v in g.values())))))
             step += 1
-            rate = 0.012 * (1 - 0.95 * step / total)
+            now = rate * (1 - 0.95 * step / total)
             for k in m.p:
                 d = g[k] * scale
                 mean[k], square[k] = 0.9 * mean[k] + 0.1 * d, 0.999 * square[k] + 0.001 * d * d
-                m.p[k] = (m.p[k] - rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                m.p[k] = (m.p[k] - now * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return m
 
 
@@ -244,6 +269,19 @@ def default_model() -> Model:
     return train(examples())
 
 
+def stored_model(spark) -> Model:
+    """default_model(), trained once for all sessions that share spark.checkpoint.dir: parameters lie there by a digest of what they follow from."""
+    about = repr((EXAMPLES, EPOCHS, BATCH, RATE, SEED, HIDDEN, EMBED, SYMBOLS, TAGS, WINDOW, examples(3)))
+    path = f"{storage.root_of(spark)}/readloom-models/pii-{hashlib.sha256(about.encode()).hexdigest()[:24]}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        rows = [(k, list(v.shape), bytearray(v.tobytes())) for k, v in default_model().p.items()]
+        spark.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+    m = Model()
+    m.p = {r.name: np.frombuffer(bytes(r.data), np.float32).reshape(r.shape) for r in spark.read.parquet(path).collect()}  # the parameters, 20 KB
+    return m
+
+
 # ---- decoding
 
 
@@ -377,7 +415,7 @@ def personal_data(docs: DataFrame, columns: list[str], model: Model) -> DataFram
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    found = personal_data(common.table(spark, sf_dir, "documents"), ["doc_id"], default_model())
+    found = personal_data(common.table(spark, sf_dir, "documents"), ["doc_id"], stored_model(spark))
     n = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("long")
     base = F.filter("spans", lambda s: s["base"])
     return found.select("doc_id", *[n(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(joined(base, KINDS), 256).alias("base_sha256"), joined(F.col("spans"), KINDS).alias("spans"))
