@@ -9,7 +9,8 @@ prune on any of the dimensions.
 The curve is a table of moves (state, digit) -> (next state, rank), made from Gray-code
 rotations, and looked up once a level: a plain expression. Order is a range exchange of
 metadata only (index, hash of text, doc_id: ties of one index spread over tasks); ranks
-are a row's place in its partition plus the rows of those before, one number a partition.
+are a row's place in its partition plus the rows of those before, one number a partition,
+summed by a window over as many rows.
 The ordered metadata are written to the shared folder once, so both uses see one order.
 
 Law `rows`: shard = floor(rank * shards / rows); counts differ by one at most.
@@ -66,12 +67,16 @@ def index(cells: list[F.Column], bits: int = BITS) -> F.Column:
 
 
 def cut_points(df: DataFrame, names: list[str], bits: int = BITS) -> list[list]:
-    """The quantiles of each column: of numbers from one pass of bounded sketches, of strings from their order."""
+    """The quantiles of each column: of numbers from one pass of bounded sketches, of strings from their order.
+
+    A value that many rows have is there several times, so that cells are shares of the rows:
+    with distinct cut points a few frequent values would differ in a cell's lowest bits only.
+    """
     at = [k / (1 << bits) for k in range(1, 1 << bits)]
     strings = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)}
     numbers = [c for c in names if c not in strings]
     row = df.agg(*[F.percentile_approx(c, at, 10_000).alias(c) for c in numbers]).first() if numbers else {}
-    return [string_cuts(df, c, at) if c in strings else sorted(set(row[c] or [])) for c in names]
+    return [string_cuts(df, c, at) if c in strings else list(row[c] or []) for c in names]
 
 
 def string_cuts(df: DataFrame, name: str, at: list[float]) -> list[str]:
@@ -82,17 +87,21 @@ def string_cuts(df: DataFrame, name: str, at: list[float]) -> list[str]:
     spark, value = df.sparkSession, F.col(name)
     counts = df.where(value.isNotNull()).groupBy(value.alias("v")).agg(F.count("*").alias("n"))
     order = common.keep(counts.repartitionByRange(common.parts(spark), "v").withColumn("p", F.spark_partition_id()), "values")
-    starts, total = [], 0
-    for r in sorted(order.groupBy("p").agg(F.sum("n").alias("n")).collect()):
-        starts.append((r.p, total))
-        total += r.n
-    start = F.broadcast(common.values(spark, starts, "p int, start long"))
-    upto = order.join(start, "p").withColumn("to", F.col("start") + F.sum("n").over(Window.partitionBy("p").orderBy("v")))
+    start = starts(order.groupBy("p").agg(F.sum("n").alias("n")), "p")
+    total = order.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    upto = order.join(start, "p").withColumn("to", F.col("__start") + F.sum("n").over(Window.partitionBy("p").orderBy("v")))
     goals = [max(1, math.ceil(x * total)) for x in at]
     met = F.lit(False)
     for g in goals:
         met = met | ((F.col("to") >= g) & (F.col("to") - F.col("n") < g))
-    return sorted((r.v for r in upto.where(met).select("v").collect()), key=lambda v: v.encode("utf-8", "surrogatepass")) if total else []
+    found = upto.where(met).select("v", "n", "to").collect() if total else []
+    return [r.v for g in goals for r in found if r.to - r.n < g <= r.to]
+
+
+def starts(counts: DataFrame, key: str) -> DataFrame:
+    """key, __start and __total from rows (key, n), one a partition: what is before, in order of key. Broadcast: 24 bytes a partition."""
+    before, every = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    return F.broadcast(counts.select(key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"), F.sum("n").over(every).alias("__total")))
 
 
 def cell(c: F.Column, cuts: list) -> F.Column:
@@ -112,14 +121,10 @@ def sharded(rows: DataFrame, dimensions: dict[str, F.Column], tie: list[str], sh
     order = ["curve", *tie]
     ordered = common.keep(placed.repartitionByRange(common.parts(spark), *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ordered")
     part, within = F.shiftrightunsigned("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
-    counts, total = [], 0
-    for r in sorted(ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()):  # a row a partition
-        counts.append((r.p, total))
-        total += r.n
-    starts = F.broadcast(common.values(spark, counts, "__p long, __start long"))
-    ranked = ordered.join(starts, part == F.col("__p")).withColumn("__rank", F.col("__start") + within)
-    shard = F.expr(f"__rank * {shards} div {max(total, 1)}")
-    return ranked.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("__rank") - F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")).drop("__p", "__start", "__at", "__rank")
+    before = starts(ordered.groupBy(part.alias("__p")).agg(F.count("*").alias("n")), "__p")
+    ranked = ordered.join(before, part == F.col("__p")).withColumn("__rank", F.col("__start") + within)
+    ranked = ranked.withColumn("shard", F.expr(f"__rank * {shards} div __total").cast("int"))
+    return ranked.withColumn("slot", F.col("__rank") - F.expr(f"(shard * __total + {shards - 1}) div {shards}")).drop("__p", "__start", "__total", "__at", "__rank")
 
 
 def document_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
