@@ -7,8 +7,10 @@ that each range knows the number of its first line. What is malformed is therefo
 the same record however the file is cut, and no byte is passed over. Files whose last line
 has no end (V2) or whose lines are no multiple of four (V5) fail before anything is read.
 
-Ranges are read in blocks: numpy finds the line breaks and Arrow takes the lines from the
-block by their places, without a Python object a line.
+A task takes a run of ranges that follow one another, so that small ranges make no more tasks
+than large ones; the first pass has a row a run. Ranges are read in blocks, no further than
+their last record: numpy finds the line breaks and Arrow takes the lines from the block by
+their places, without a Python object a line.
 
 Paths are opened by pyarrow's file systems (local, hdfs, s3 ...). For stores that only
 Spark's readers reach, lines_of() reads the lines with Spark's text source.
@@ -17,7 +19,7 @@ Spark's readers reach, lines_of() reads the lines with Spark's text source.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..operators import fields, validate
 from ..storage import shared_dir
 
-PARTITION_BYTES, BLOCK, BATCH, CHUNK_BYTES = 64 << 20, 4 << 20, 8192, 8 << 20
+PARTITION_BYTES, BLOCK, TAIL, BATCH, CHUNK_BYTES = 64 << 20, 4 << 20, 4 << 10, 8192, 8 << 20
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -66,13 +68,28 @@ def ranges(path: str, step: int) -> list[Range]:
     return [Range(f, k, a, min(n, a + step), n) for k, (f, n) in enumerate(files(path)) for a in range(0, n, step)]
 
 
+def run_bytes(path: str, step: int, tasks: int) -> int:
+    """Bytes of a task's run: whole ranges, of PARTITION_BYTES at most, fewer where there would not be `tasks` runs."""
+    n = sum(-(-size // step) for _, size in files(path))
+    return step * max(1, min(PARTITION_BYTES // step, -(-n // tasks)))
+
+
+def breaks(raw, p: Range) -> tuple[int, bytes]:
+    """Line breaks in a range, and its last byte."""
+    raw.seek(p.start)
+    n, last, left = 0, b"", p.end - p.start
+    while left and (block := raw.read(min(left, BLOCK))):
+        n, last, left = n + block.count(b"\n"), block[-1:], left - len(block)
+    return n, last
+
+
 def records(raw, p: Range) -> Iterator[tuple[bytes, int, np.ndarray, int, int]]:
     """Whole records that start in a range: (bytes, their place in the file, ends of lines in them, start of the first, its number in the file)."""
     base = max(0, p.start - 1)
     raw.seek(base)
     held, line = b"", None if p.start else 0
     while True:
-        block = raw.read(BLOCK)
+        block = raw.read(min(BLOCK, max(0, p.end - base - len(held)) + max(TAIL, len(held))))
         data, begin = held + block, 0
         ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
         if line is None and len(ends):  # the line that runs into the range belongs to the one before
@@ -89,6 +106,8 @@ def records(raw, p: Range) -> Iterator[tuple[bytes, int, np.ndarray, int, int]]:
             if starts[here] >= p.end:
                 return
             begin, line = int(starts[n] - base), line + 4 * n
+        elif base + len(data) >= p.end:  # no record starts in the range
+            return
         if not block:
             return
         held, base = data[begin:], base + begin
@@ -98,10 +117,11 @@ class Reader(DataSourceReader):
     def __init__(self, options: dict, binary: bool, count: bool) -> None:
         self.path, self.binary, self.count = options["path"], binary, count
         self.step = int(options.get("partitionbytes", options.get("partitionBytes", PARTITION_BYTES)))
+        self.run = int(options.get("run", self.step))
         self.starts = options.get("starts", "")
 
     def partitions(self):
-        every = ranges(self.path, self.step)
+        every = ranges(self.path, self.run)
         if self.starts:
             fs, path = opened(self.starts)
             with fs.open_input_file(path) as f:
@@ -117,14 +137,16 @@ class Reader(DataSourceReader):
             if self.count:
                 yield self.counted(raw, p)
                 return
-            for data, base, ends, begin, first in records(raw, p):
-                yield from self.batches(p, data, base, ends, begin, first)
+            lines = p.lines
+            for a in range(p.start, p.end, self.step):
+                r = replace(p, start=a, end=min(p.end, a + self.step), lines=lines)
+                for data, base, ends, begin, first in records(raw, r):
+                    yield from self.batches(r, data, base, ends, begin, first)
+                if r.end < p.end:
+                    lines += breaks(raw, r)[0]
 
     def counted(self, raw, p: Range) -> pa.RecordBatch:
-        raw.seek(p.start)
-        n, last, left = 0, b"", p.end - p.start
-        while left and (block := raw.read(min(left, BLOCK))):
-            n, last, left = n + block.count(b"\n"), block[-1:], left - len(block)
+        n, last = breaks(raw, p)
         return pa.record_batch([pa.array([p.number], pa.int32()), pa.array([p.start], pa.int64()), pa.array([n], pa.int64()), pa.array([last == b"\n"])], names=[c.split()[0] for c in COUNTS.split(", ")])
 
     def batches(self, p: Range, data: bytes, base: int, ends: np.ndarray, begin: int, first: int) -> Iterator[pa.RecordBatch]:
@@ -146,7 +168,7 @@ COUNTS = "file_no int, range_start long, lines long, ended boolean"
 
 
 class FastqSource(DataSource):
-    """spark.read.format("fastq").load(path); options partitionBytes, binary (lines as bytes: any encoding), count (lines of ranges), starts (what scan() makes of these)."""
+    """spark.read.format("fastq").load(path); options partitionBytes, run (bytes of a task's ranges), binary (lines as bytes: any encoding), count (lines of runs), starts (what scan() makes of these)."""
 
     @classmethod
     def name(cls) -> str:
@@ -164,12 +186,12 @@ class FastqSource(DataSource):
         return Reader(self.options, self.flag("binary"), self.flag("count"))
 
 
-def starts(spark: SparkSession, path: str, partition_bytes: int, chunk_bytes: int) -> str:
-    """A file of (lines before, first record and chunk of the file) for each range, from counts of lines; V2 and V5 fail."""
-    rows = spark.read.format("fastq").option("partitionBytes", partition_bytes).option("count", "true").load(path).collect()  # a row a range
+def starts(spark: SparkSession, path: str, run: int, chunk_bytes: int) -> str:
+    """A file of (lines before, first record and chunk of the file) for each run, from counts of lines; V2 and V5 fail."""
+    rows = spark.read.format("fastq").option("run", run).option("count", "true").load(path).collect()  # a row a run
     counted = {(r.file_no, r.range_start): r for r in rows}
     out, before, rec, chunk = [], 0, 0, 0
-    for p in ranges(path, partition_bytes):
+    for p in ranges(path, run):
         if not p.start:
             before = 0
         c = counted[p.number, p.start]
@@ -192,8 +214,9 @@ def starts(spark: SparkSession, path: str, partition_bytes: int, chunk_bytes: in
 def scan(spark: SparkSession, path: str, partition_bytes: int = PARTITION_BYTES, binary: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """SCHEMA: a row a record, unordered; rec is its number over all files, in order of name."""
     spark.dataSource.register(FastqSource)
-    known = starts(spark, path, partition_bytes, chunk_bytes)
-    return spark.read.format("fastq").option("partitionBytes", partition_bytes).option("binary", str(binary).lower()).option("starts", known).load(path)
+    run = run_bytes(path, partition_bytes, 2 * spark.sparkContext.defaultParallelism)
+    known = starts(spark, path, run, chunk_bytes)
+    return spark.read.format("fastq").option("partitionBytes", partition_bytes).option("run", run).option("binary", str(binary).lower()).option("starts", known).load(path)
 
 
 def read(spark: SparkSession, path: str, mode: str = "strict", chunk_bytes: int = CHUNK_BYTES, partition_bytes: int = PARTITION_BYTES) -> DataFrame:

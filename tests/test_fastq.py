@@ -121,6 +121,39 @@ def test_long_records_and_several_blocks(spark, tmp_path, monkeypatch):
     assert "".join(f"{r['l0']}\n{r['l1']}\n{r['l2']}\n{r['l3']}\n" for r in got) == text and sum(r["bytes"] for r in got) == len(text)
 
 
+def test_small_ranges_make_no_more_tasks_than_large_ones(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    put(d / "a.fq", "".join(record(i) for i in range(3000)))
+    put(d / "b.fq", "".join(record(i)[i == 3007 :] for i in range(3000, 3100)))
+    raw = fastq.scan(spark, str(d), 50)  # about 1,700 ranges
+    assert raw.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism + 2
+    assert sorted(r.rec for r in raw.collect()) == list(range(3100)) and fastq.uncovered(raw).count() == 0
+    assert [(r.rec, r.error) for r in validate.rejected(raw).collect()] == [(3007, "V7")]
+
+
+def test_a_range_is_not_read_beyond_its_last_record(tmp_path):
+    class Counted:
+        def __init__(self, raw):
+            self.raw, self.seek, self.bytes = raw, raw.seek, 0
+
+        def read(self, n):
+            out = self.raw.read(n)
+            self.bytes += len(out)
+            return out
+
+    for text, step in (("".join(record(i) for i in range(20000)), 1 << 15), (record(0, "ACGT" * 200000) + record(1), 1 << 12)):
+        path = put(tmp_path / "r.fq", text)
+        lines, got = 0, []
+        with open(path, "rb") as f:
+            raw = Counted(f)
+            for p in fastq.ranges(path, step):
+                p.lines = lines
+                lines += text[p.start : p.end].count("\n")
+                got += [data[begin : ends[-1] + 1] for data, _, ends, begin, _ in fastq.records(raw, p)]
+        assert b"".join(got).decode() == text and raw.bytes < 3 * len(text)
+
+
 def test_lines_beyond_the_limit(spark):
     raw = spark.createDataFrame([(0, "@a", "ACGT", "+", "IIII"), (1, "@a", "ACGTA", "+", "IIIII")], "rec long, l0 string, l1 string, l2 string, l3 string")
     assert [(r.rec, r.error) for r in validate.checked(raw, 4).collect()] == [(0, None), (1, "V14")]
