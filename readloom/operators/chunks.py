@@ -8,7 +8,8 @@ the data; each is coded alone and its streams are self-describing.
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,69 @@ def decoded_ints(data: bytes, encoding: str, n: int) -> np.ndarray:
     return kernels.undelta(v) if encoding == "delta" else v
 
 
+def coded(chunk: int, t: pa.Table, options: tuple[Options, ...]) -> Iterator[list[tuple]]:
+    """Rows of STREAMS of a chunk's reads, for each of the options.
+
+    Options of one call differ in quality_codec and transpose only: what these do not touch is
+    made once, by the first.
+    """
+    o = options[0]
+    if any(replace(v, quality_codec=o.quality_codec, transpose=o.transpose) != o for v in options):
+        raise ValueError("options of one call may differ in quality_codec and transpose only")
+    ids, quality = t["identifier"].to_pylist(), t["quality"].to_pylist()
+    bases, scores = encode.stream(t, "basecalls"), encode.stream(t, "quality")
+    lengths = np.array([len((x or "").encode()) for x in quality], np.int64)
+    rows: list[tuple] = []
+
+    def put(stream: str, data: bytes, codec: str, n: int, col: int = -1, kind: str = "", encoding: str = "plain", text: int = 0) -> None:
+        for k, part in enumerate([data] if stream == "about" else codecs.slices(data, o.slice_bytes) or [b""]):
+            packed = codecs.compress(part, codec)
+            rows.append((chunk, stream, col, k, kind, encoding, codec, n, 0 if k else text, len(part), len(packed), packed))
+
+    sep: list[str] = []
+    if (found := chunk_layout(ids)) is not None:
+        sep, kinds, cols = found
+        for c, (kind, values) in enumerate(zip(kinds, cols, strict=True)):
+            if kind == "int32":
+                encoding, data = best_encoding([int(v) for v in values], o.codec)
+                put("id_values", data, o.codec, len(values), c, kind, encoding, sum(map(len, values)))
+            else:
+                data = "".join(values).encode()
+                put("id_values", data, o.codec, len(values), c, kind, text=len(data))
+                put("id_lengths", np.array([len(v.encode()) for v in values], "<u4").tobytes(), o.codec, len(values), c)
+    else:
+        data = "".join(ids).encode()
+        put("id_flat", data, o.codec, len(ids), text=len(data))
+    counts, deltas = kernels.n_mask(bases)
+    put("bases", kernels.pack(bases, o.pack_order), o.base_codec, len(bases), text=len(bases))
+    put("n_counts", counts.astype("<u2").tobytes(), o.codec, len(counts))
+    if len(deltas):
+        put("n_positions", deltas.astype("<u2").tobytes(), o.codec, len(deltas))
+    low = np.frombuffer(bases, np.uint8) >= ord("a")
+    if o.keep_case and low.any():
+        put("case", np.packbits(low).tobytes(), o.codec, len(bases))
+    fixed = bool(len(lengths)) and int(lengths.min()) == int(lengths.max())
+    id_lengths = np.array([len(x.encode()) for x in ids], np.int64)
+    plus = np.array(t["plus_kind"].to_pylist(), np.uint8)
+    index = np.stack([id_lengths + 2, lengths + 1, np.where(plus == 1, id_lengths + 2, 2), lengths + 1], 1).ravel()
+    put("line_lengths", np.concatenate(([0], index)).astype("<u4").tobytes(), o.codec, len(index) + 1, text=4 * (len(index) + 1))
+    put("plus", plus.tobytes(), o.codec, len(plus))
+    rec = t["rec"].to_numpy()
+    if len(rec) and int(rec[-1]) - int(rec[0]) + 1 != len(rec):  # records were left out
+        put("rec", rec.astype("<i8").tobytes(), o.codec, len(rec))
+    shared = rows
+    for v in options:
+        rows = []
+        turned = v.transpose and fixed and int(lengths[0]) > 0
+        put("quality", kernels.transpose(scores, len(lengths), int(lengths[0])) if turned else scores, v.quality_codec, len(scores), text=len(scores))
+        about = {"records": len(ids), "first_rec": t["rec"][0].as_py(), "columnar": found is not None, "separators": sep, "order": o.pack_order, "layout": "fixed" if fixed else "variable", "fixed_len": int(lengths[0]) if fixed else 0, "transposed": turned, "case_loss": 0 if o.keep_case else int(low.sum())}
+        put("about", json.dumps(about).encode(), "none", 1, text=len(ids) * sum(len(x.encode()) for x in sep))
+        yield shared + rows
+
+
+READ_IN = ("chunk_id", "rec", "identifier", "basecalls", "plus_kind", "quality")
+
+
 def encoded(reads: DataFrame, options: Options | None = None) -> DataFrame:
     """STREAMS of reads (chunk_id, rec, identifier, basecalls, plus_kind, quality).
 
@@ -74,55 +138,10 @@ def encoded(reads: DataFrame, options: Options | None = None) -> DataFrame:
     o = options or Options()
 
     def make(key, t: pa.Table) -> dict:
-        ids, quality = t["identifier"].to_pylist(), t["quality"].to_pylist()
-        bases, scores = encode.stream(t, "basecalls"), encode.stream(t, "quality")
-        lengths = np.array([len((x or "").encode()) for x in quality], np.int64)
-        rows: dict[str, list] = {n: [] for n in encode.arrow(STREAMS).names}
-
-        def put(stream: str, data: bytes, codec: str, n: int, col: int = -1, kind: str = "", encoding: str = "plain", text: int = 0) -> None:
-            for k, part in enumerate([data] if stream == "about" else codecs.slices(data, o.slice_bytes) or [b""]):
-                packed = codecs.compress(part, codec)
-                for name, v in zip(rows, (key[0], stream, col, k, kind, encoding, codec, n, 0 if k else text, len(part), len(packed), packed), strict=True):
-                    rows[name].append(v)
-
-        sep: list[str] = []
-        if (found := chunk_layout(ids)) is not None:
-            sep, kinds, cols = found
-            for c, (kind, values) in enumerate(zip(kinds, cols, strict=True)):
-                if kind == "int32":
-                    encoding, data = best_encoding([int(v) for v in values], o.codec)
-                    put("id_values", data, o.codec, len(values), c, kind, encoding, sum(map(len, values)))
-                else:
-                    data = "".join(values).encode()
-                    put("id_values", data, o.codec, len(values), c, kind, text=len(data))
-                    put("id_lengths", np.array([len(v.encode()) for v in values], "<u4").tobytes(), o.codec, len(values), c)
-        else:
-            data = "".join(ids).encode()
-            put("id_flat", data, o.codec, len(ids), text=len(data))
-        counts, deltas = kernels.n_mask(bases)
-        put("bases", kernels.pack(bases, o.pack_order), o.base_codec, len(bases), text=len(bases))
-        put("n_counts", counts.astype("<u2").tobytes(), o.codec, len(counts))
-        if len(deltas):
-            put("n_positions", deltas.astype("<u2").tobytes(), o.codec, len(deltas))
-        low = np.frombuffer(bases, np.uint8) >= ord("a")
-        if o.keep_case and low.any():
-            put("case", np.packbits(low).tobytes(), o.codec, len(bases))
-        fixed = bool(len(lengths)) and int(lengths.min()) == int(lengths.max())
-        turned = o.transpose and fixed and int(lengths[0]) > 0
-        put("quality", kernels.transpose(scores, len(lengths), int(lengths[0])) if turned else scores, o.quality_codec, len(scores), text=len(scores))
-        id_lengths = np.array([len(x.encode()) for x in ids], np.int64)
-        plus = np.array(t["plus_kind"].to_pylist(), np.uint8)
-        index = np.stack([id_lengths + 2, lengths + 1, np.where(plus == 1, id_lengths + 2, 2), lengths + 1], 1).ravel()
-        put("line_lengths", np.concatenate(([0], index)).astype("<u4").tobytes(), o.codec, len(index) + 1, text=4 * (len(index) + 1))
-        put("plus", plus.tobytes(), o.codec, len(plus))
-        rec = t["rec"].to_numpy()
-        if len(rec) and int(rec[-1]) - int(rec[0]) + 1 != len(rec):  # records were left out
-            put("rec", rec.astype("<i8").tobytes(), o.codec, len(rec))
-        about = {"records": len(ids), "first_rec": t["rec"][0].as_py(), "columnar": found is not None, "separators": sep, "order": o.pack_order, "layout": "fixed" if fixed else "variable", "fixed_len": int(lengths[0]) if fixed else 0, "transposed": turned, "case_loss": 0 if o.keep_case else int(low.sum())}
-        put("about", json.dumps(about).encode(), "none", 1, text=len(ids) * sum(len(x.encode()) for x in sep))
-        return rows
+        (rows,) = coded(key[0], t, (o,))
+        return dict(zip(encode.arrow(STREAMS).names, zip(*rows, strict=True), strict=True))
 
-    return encode.by_chunk(reads.select("chunk_id", "rec", "identifier", "basecalls", "plus_kind", "quality"), ["chunk_id"], STREAMS, make)
+    return encode.by_chunk(reads.select(*READ_IN), ["chunk_id"], STREAMS, make)
 
 
 READ_BACK = "chunk_id int, rec long, identifier string, basecalls string, plus_kind int, quality string"

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import time
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..operators import chunks, encode, fields
 from ..operators.chunks import Options
-from ..schema import OWN
+from ..schema import OWN, STREAMS
 from ..sources import container, fastq
 
 
@@ -61,34 +63,42 @@ def by_stream(streams: DataFrame) -> DataFrame:
     return by.withColumn("percent", codecs.ratio_percent(F.col("comp_bytes"), F.col("raw_bytes")))
 
 
+CASES = "variant string, codec string, stream string, raw_bytes long, comp_bytes long, micros long"
+
+
 def ablation(reads: DataFrame, codecs_: tuple[str, ...] = ("bwt", "zstd")) -> DataFrame:
     """variant, codec, stream, raw_bytes, comp_bytes, percent, seconds: the records' text as it is, its four lines apart, and all encodings, also with transposed scores.
 
     raw_bytes of the whole is the text's; a percentage is of that. seconds: of the codec, summed
-    over chunks; null for all encodings.
+    over chunks; null for all encodings. The reads are exchanged once: a chunk's task makes all cases.
     """
-
-    def plain(variant: str, stream: str, text, codec: str) -> DataFrame:
-        def make(key, t):
-            data, began = encode.stream(t, "v"), time.perf_counter()
-            parts = [len(codecs.compress(p, codec)) for p in codecs.slices(data)]
-            return {"chunk_id": [key[0]], "raw_bytes": [len(data)], "comp_bytes": [sum(parts)], "micros": [int(1e6 * (time.perf_counter() - began))]}
-
-        of = encode.by_chunk(reads.select("chunk_id", "rec", F.concat(text, F.lit("\n")).alias("v")), ["chunk_id"], "chunk_id int, raw_bytes long, comp_bytes long, micros long", make)
-        return of.select(F.lit(variant).alias("variant"), F.lit(codec).alias("codec"), F.lit(stream).alias("stream"), "raw_bytes", "comp_bytes", "micros")
-
-    lines = {"identifiers": F.concat(F.lit("@"), "identifier"), "basecalls": F.col("basecalls"), "plus": fields.plus_line(), "quality": F.col("quality")}
-    whole = reads.agg(F.sum(F.octet_length(fields.text()) + 1).alias("raw_bytes"))
-    made = []
-    for c in codecs_:
-        made.append(plain("raw", "all", fields.text(), c))
-        made += [plain("split", k, x, c) for k, x in lines.items()]
-        for variant, turned in (("full", False), *([("full_transposed", True)] if c == "zstd" else [])):
-            size = chunks.encoded(reads, Options(quality_codec=c, transpose=turned)).agg(F.sum("comp_bytes").alias("comp_bytes"))
-            made.append(whole.crossJoin(size).select(F.lit(variant).alias("variant"), F.lit(c).alias("codec"), F.lit("all").alias("stream"), "raw_bytes", "comp_bytes", F.lit(None).cast("long").alias("micros")))
-    every = made[0]
-    for m in made[1:]:
-        every = every.unionByName(m)
-    by = every.groupBy("variant", "codec", "stream").agg(F.sum("raw_bytes").alias("raw_bytes"), F.sum("comp_bytes").alias("comp_bytes"), (F.sum("micros") / 1e6).alias("seconds"))
-    apart = by.where("variant = 'split'").groupBy("variant", "codec").agg(F.lit("all").alias("stream"), F.sum("raw_bytes").alias("raw_bytes"), F.sum("comp_bytes").alias("comp_bytes"), F.sum("seconds").alias("seconds"))
-    return by.unionByName(apart).withColumn("percent", codecs.ratio_percent(F.col("comp_bytes"), F.col("raw_bytes")))
+    full = {("full_transposed" if turned else "full", c): Options(quality_codec=c, transpose=turned) for c in codecs_ for turned in ((False, True) if c == "zstd" else (False,))}
+
+    def make(key, t):
+        def text(*parts) -> bytes:
+            return encode.stream(pa.table({"v": pc.binary_join_element_wise(*parts, "")}), "v")
+
+        marked = pc.fill_null(pc.equal(t["plus_kind"], 1), False)
+        l0, l1, l3 = pc.binary_join_element_wise("@", t["identifier"], "\n", ""), pc.binary_join_element_wise(t["basecalls"], "\n", ""), pc.binary_join_element_wise(t["quality"], "\n", "")
+        l2 = pc.if_else(marked, pc.binary_join_element_wise("+", t["identifier"], "\n", ""), "+\n")
+        whole, lines = text(l0, l1, l2, l3), {"identifiers": text(l0), "basecalls": text(l1), "plus": text(l2), "quality": text(l3)}
+        rows = []
+
+        def plain(variant: str, codec: str, stream: str, data: bytes) -> tuple:
+            began = time.perf_counter()
+            size = sum(len(codecs.compress(p, codec)) for p in codecs.slices(data))
+            rows.append((variant, codec, stream, len(data), size, int(1e6 * (time.perf_counter() - began))))
+            return rows[-1][3:]
+
+        for c in codecs_:
+            plain("raw", c, "all", whole)
+            rows.append(("split", c, "all", *map(sum, zip(*[plain("split", c, k, x) for k, x in lines.items()], strict=True))))
+        size = encode.arrow(STREAMS).get_field_index("comp_bytes")
+        for (variant, c), streams in zip(full, chunks.coded(key[0], t, tuple(full.values())), strict=True):
+            rows.append((variant, c, "all", len(whole), sum(r[size] for r in streams), None))
+        return dict(zip(encode.arrow(CASES).names, zip(*rows, strict=True), strict=True))
+
+    every = encode.by_chunk(reads.select(*chunks.READ_IN), ["chunk_id"], CASES, make)
+    none = reads.sparkSession.createDataFrame([(v, c, "all", None, None, None) for v, c in full], CASES)  # without reads too, all encodings have a row
+    by = every.unionByName(none).groupBy("variant", "codec", "stream").agg(F.sum("raw_bytes").alias("raw_bytes"), F.sum("comp_bytes").alias("comp_bytes"), (F.sum("micros") / 1e6).alias("seconds"))
+    return by.withColumn("percent", codecs.ratio_percent(F.col("comp_bytes"), F.col("raw_bytes")))

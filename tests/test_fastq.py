@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from readloom import cli
+from readloom.functions import codecs
 from readloom.operators import chunks, fields, identifiers, validate
 from readloom.operators.chunks import Options
 from readloom.plans import workflow
@@ -296,6 +298,29 @@ def test_ablation_has_both_codecs_and_transposing_acts(spark):
     assert all((r.seconds is None) == k[0].startswith("full") and r.percent == 100 * r.comp_bytes / r.raw_bytes for k, r in by.items())
 
 
+def test_ablation_exchanges_the_reads_once_and_has_the_encoder_s_sizes(spark):
+    reads = frame(spark, [f"a:{i}" for i in range(300)], ["ACGTN" * 8] * 300, ["".join("FF:,#"[(i * 7 + k * k) % 5] for k in range(40)) for i in range(300)])
+    reads = reads.withColumns({"chunk_id": (F.col("rec") / 100).cast("int"), "plus_kind": (F.col("rec") % 3 == 0).cast("int")})
+    got = workflow.ablation(reads)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 1
+    by = {(r.variant, r.codec, r.stream): r for r in got.collect()}
+    for c, turned in (("bwt", False), ("zstd", False), ("zstd", True)):
+        streams = chunks.encoded(reads, Options(quality_codec=c, transpose=turned))
+        assert by["full_transposed" if turned else "full", c, "all"].comp_bytes == streams.agg(F.sum("comp_bytes")).first()[0]
+    every = [r.text.encode() + b"\n" for r in reads.orderBy("rec").select(fields.text().alias("text")).collect()]
+    parts = [b"".join(every[k : k + 100]) for k in (0, 100, 200)]
+    kinds = [[b"".join(r.split(b"\n")[k] + b"\n" for r in p) for p in (every[:100], every[100:200], every[200:])] for k in range(4)]
+    for c in ("bwt", "zstd"):
+        size = lambda data: sum(len(codecs.compress(x, c)) for x in data)  # noqa: B023, E731
+        assert by["raw", c, "all"].comp_bytes == size(parts) and by["raw", c, "all"].raw_bytes == len(b"".join(every))
+        assert [by["split", c, s].comp_bytes for s in ("identifiers", "basecalls", "plus", "quality")] == [size(k) for k in kinds]
+        assert by["split", c, "all"].comp_bytes == sum(map(size, kinds))
+    none = workflow.ablation(reads.where("rec < 0")).collect()
+    assert sorted((r.variant, r.codec, r.raw_bytes, r.comp_bytes) for r in none) == [("full", "bwt", None, None), ("full", "zstd", None, None), ("full_transposed", "zstd", None, None)]
+    with pytest.raises(ValueError, match="differ in quality_codec"):
+        list(chunks.coded(0, None, (Options(), Options(codec="none"))))
+
+
 def test_options_are_checked():
     for bad in ({"quality_codec": "x"}, {"pack_order": "gatc"}, {"slice_bytes": 0}):
         with pytest.raises(ValueError):
