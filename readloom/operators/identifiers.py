@@ -113,7 +113,10 @@ def chunk_layout(identifiers: list[str], sample: int = SAMPLE) -> tuple[list[str
     rows = []
     for x in identifiers:
         t, s = split_text(x)
-        if s != sep or len(t) != len(tok) or any(k == "int32" and not int_text(v) for k, v in zip(kinds, t, strict=True)):
+        if s != sep or len(t) != len(tok):
             return None
         rows.append(t)
-    return sep, kinds, [list(c) for c in zip(*rows, strict=True)]
+    cols = [list(c) for c in zip(*rows, strict=True)]
+    if any(k == "int32" and not all(map(int_text, set(c))) for k, c in zip(kinds, cols, strict=True)):  # a value once, however often it occurs
+        return None
+    return sep, kinds, cols
