@@ -17,15 +17,15 @@ READS = ("rec", "identifier", "basecalls", "plus_kind", "quality")
 
 def scan_fastq(spark, sf_dir):
     path = shared_dir(spark, "fastq")
-    fastq.write(reads(spark, sf_dir), path)
+    fastq.write(reads(spark, sf_dir, ordered=True), path, ordered=True)
     return fastq.read(spark, path, partition_bytes=1 << 18).select(*READS)
 
 
 def scan_fastq_faulty(spark, sf_dir):
     """What a scan in small ranges rejects from a file with faults."""
     path = shared_dir(spark, "faulty")
-    raw = faulty(fields.raw_lines(reads(spark, sf_dir)))
-    raw.orderBy("rec").select(F.concat_ws("\n", *validate.LINES)).write.text(path)
+    raw = faulty(fields.raw_lines(reads(spark, sf_dir, ordered=True)))
+    raw.select(F.concat_ws("\n", *validate.LINES)).write.text(path)
     return validate.rejected(fastq.scan(spark, path, 1 << 15)).select("rec", "error")
 
 
